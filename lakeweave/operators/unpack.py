@@ -35,7 +35,7 @@ STRONG = ";；|\n\r\t·、•¦"
 SLASH = regex.compile(r"\s/\s|(?<=\p{L}{2})/(?=\p{Lu}\p{L})|(?<=\.)/(?=\p{Lu})|(?<=\s)/(?=\S)|(?<=\S)/(?=\s)")
 CONJ = regex.compile(r"\s+(?:&|and|und|et)\s+", regex.I)
 LEADING_CONJ = regex.compile(r"^(?:&|and|und|et)\s+", regex.I)
-GIVEN = regex.compile(r"^[\p{L}\p{M}'’\-]+\.?(?:\s+\p{L}\.?(?:-\p{L}\.?)?)*(?:\s*\([^()]*\))?$|^(?:\p{L}\.?[\s\-]*)+(?:\s*\([^()]*\))?$")
+GIVEN = regex.compile(r"^[\p{L}\p{M}'’\-]+\.?(?:\s+\p{L}\.?(?:-\p{L}\.?)?)*(?:\s*\([^()]*\))?$|^(?:\p{L}\.[\s\-]*)+(?:\s*\([^()]*\))?$|^\p{L}(?:\s\p{L})*(?:\s*\([^()]*\))?$")
 FIRM = regex.compile(r"^(?:sons?|daughters?|daughtres|brothers|bros|partners|company|co|associates|cie)\b", regex.I)
 LINKS = regex.compile(r"\b(?:on|of|for|für|de)\b", regex.I)
 
