@@ -145,26 +145,23 @@ def _names(s: str) -> list[tuple[str, str]]:
             k += 1
     out: list[tuple[str, str]] = []
     for part in parts:
-        pieces = [LEADING_CONJ.sub("", x.strip()) for x in part.split(",")]
+        raw = part.split(",")
+        pieces = [LEADING_CONJ.sub("", x.strip()) for x in raw]
         k = 0
         while k < len(pieces):
             p = pieces[k]
             nxt = pieces[k + 1] if k + 1 < len(pieces) else None
             if not p:
                 k += 1
-            elif nxt and nxt.rstrip(".").lower() in SUFFIXES:
-                out.append((f"{p}, {nxt}" if len(p.split()) > 1 or k + 2 >= len(pieces) else p, ""))
-                k += 2
-            elif len(p.split()) == 1 and nxt and GIVEN.match(nxt):
-                raw = f"{p}, {nxt}"
-                k += 2
-                if k < len(pieces) and pieces[k].rstrip(".").lower() in SUFFIXES:
-                    raw += f", {pieces[k]}"
-                    k += 1
-                out.append((raw, ""))
-            else:
-                out.append((p, "" if len(p.split()) > 1 or len(pieces) == 1 else "lone word"))
-                k += 1
+                continue
+            n = 1
+            if len(p.split()) == 1 and nxt and GIVEN.match(nxt) and nxt.rstrip(".").lower() not in SUFFIXES:
+                n = 2
+            if k + n < len(pieces) and pieces[k + n].rstrip(".").lower() in SUFFIXES:
+                n += 1
+            flag = "lone word" if n == 1 and len(p.split()) == 1 and len(pieces) > 1 else ""
+            out.append((LEADING_CONJ.sub("", ",".join(raw[k : k + n]).strip()), flag))
+            k += n
     return out
 
 
@@ -202,10 +199,9 @@ def unpack(df: DataFrame, field: str, keys: tuple[str, ...], out: str = "value")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parsed = [parse_packed(f) for f in pdf["__field"]]
-            flat = [(k + 1, v.text, len(p), v.kind, v.flag) for p in parsed for k, v in enumerate(p)]
-            base = pdf[list(keys)].loc[pdf.index.repeat([len(p) for p in parsed])].reset_index(drop=True)
-            more = pd.DataFrame(flat, columns=["pos", out, "n_values", "kind", "flag"])
-            yield pd.concat([base, more], axis=1)[[*keys, "pos", out, "n_values", "kind", "flag"]]
+            owners = list(zip(*[pdf[k].tolist() for k in keys], strict=True))
+            rows = [(*own, k + 1, v.text, len(p), v.kind, v.flag) for own, p in zip(owners, parsed, strict=True) for k, v in enumerate(p)]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", out, "n_values", "kind", "flag"])
 
     return slim.mapInPandas(run, schema)
 
