@@ -142,11 +142,10 @@ def copies_of(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
         salted = bool(pdf["salted"].iloc[0])
-        ends = [trie.add(bytes(p), k) for p, k in zip(pdf["path"], pdf["key"], strict=True)]
-        pick = [salted or e[1] > 1 for e in ends]
-        out = pdf.loc[pick, ["tab", "key"]]
-        chosen = [e for e, p in zip(ends, pick, strict=True) if p]
-        return out.assign(kept=[e[2] for e in chosen], path=[e[0] if salted else None for e in chosen])
+        keys, paths = pdf["key"].tolist(), pdf["path"].tolist()
+        ends = [trie.add(bytes(p), k) for p, k in zip(paths, keys, strict=True)]
+        rows = [(t, k, e[2], e[0] if salted else None) for t, k, e in zip(pdf["tab"].tolist(), keys, ends, strict=True) if salted or e[1] > 1]
+        return pd.DataFrame(rows, columns=["tab", "key", "kept", "path"], dtype=object)
 
     found = settle(bucketed.groupBy("bucket").applyInPandas(count, schema))
     whole = found.filter("path is null").select("tab", F.col("kept").alias("kept_key"), F.col("key").alias("copy_key"))
@@ -165,8 +164,7 @@ def _paths(df: DataFrame, tab: str, key: str, scope: list[str], content: str, ca
             canon = [canonical(c) for c in pdf["content"]]
             scopes = list(zip(*[pdf[f"s{k}"] for k in range(len(scope))], strict=True)) if scope else [()] * len(pdf)
             path = [None if c is None else key_bytes("\x1f".join([tab, *["\x00" if s is None else s for s in own]]).encode(), c) for c, own in zip(canon, scopes, strict=True)]
-            out = pd.DataFrame({"tab": tab, "key": pdf["key"], "path": path})
-            yield out[out["path"].notna()]
+            yield pd.DataFrame([(tab, k, p) for k, p in zip(pdf["key"].tolist(), path, strict=True) if p is not None], columns=["tab", "key", "path"], dtype=object)
 
     return slim.mapInPandas(run, schema)
 

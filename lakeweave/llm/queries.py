@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import encode, formatting, packing, quality, splits
+from lakeweave.llm import encode, formatting, names, neighbours, overlap, packing, quality, splits
 from lakeweave.runtime import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.most_similar(table(spark, root, "z_store"), least_cosine=0.9))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.overlap_pairs(overlap.cross_split_overlaps(table(spark, root, "query_tables")))
+
+
+def p4_counts(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.overlap_counts(overlap.cross_split_overlaps(table(spark, root, "query_tables")))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return names.link_names(names.name_spellings(table(spark, root, "abebooks")), table(spark, root, "nickname_forms"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.name_pairs(p5_clusters(spark, root))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return formatting.formatting_copies(table(spark, root, "distinct_values"), table(spark, root, "source_tables"))
 
@@ -46,6 +66,11 @@ def p10_quality(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_found": p1_found,
+        "p4_found": p4_found,
+        "p4_counts": p4_counts,
+        "p5_found": p5_found,
+        "p5_clusters": p5_clusters,
         "p6_found": p6_found,
         "p6_counts": p6_counts,
         "p7_found": p7_found,
