@@ -38,7 +38,7 @@ TITLES = frozenset("dr prof professor mr mrs ms miss sir rev st dame lord lady".
 SUFFIXES = unpack.SUFFIXES
 THRESHOLD = 0.82
 #: Wanted recall of the banding for cores of SIMILARITY, and the overlap of unrelated cores.
-RECALL, SIMILARITY, NOISE = 0.97, 0.47, 0.15
+RECALL, SIMILARITY, NOISE = 0.99, 0.43, 0.15
 
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*\.?|&")
 
@@ -84,7 +84,7 @@ def padded_grams(word: str, q: int = 3) -> set[str]:
     return {s[k : k + q] for k in range(len(s) - q + 1)}
 
 
-def banding(recall: float = RECALL, similarity: float = SIMILARITY, noise: float = NOISE, most: int = 128) -> tuple[int, int]:
+def banding(recall: float = RECALL, similarity: float = SIMILARITY, noise: float = NOISE, most: int = 160) -> tuple[int, int]:
     """Rows per band and bands of least noise whose collision curve reaches ``recall``."""
     best = (1.0, 1, 1)
     for rows in range(1, 9):
@@ -207,16 +207,16 @@ def core_pairs(cores: DataFrame, q: int = 3) -> DataFrame:
             out = []
             for w in pdf["core"].tolist():
                 h = _min_hashes(w, rows * bands, q)
-                out.extend((w, f"{k}:{hash(tuple(h[k * rows : (k + 1) * rows])):x}") for k in range(bands))
-            yield pd.DataFrame(out, columns=["core", "band"], dtype=object)
+                out.extend((w, hash((k, *h[k * rows : (k + 1) * rows]))) for k in range(bands))
+            yield pd.DataFrame(out, columns=["core", "band"])
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame([(a, b) for a, b in zip(pdf["core_a"].tolist(), pdf["core_b"].tolist(), strict=True) if near(a, b) == 1], columns=["core_a", "core_b"], dtype=object)
 
-    signed = cores.filter(F.length("core") >= 5).mapInPandas(sign, "core string, band string")
+    signed = cores.filter(F.length("core") >= 5).mapInPandas(sign, "core string, band long")
     left, right = signed.withColumnRenamed("core", "core_a"), signed.withColumnRenamed("core", "core_b")
-    met = left.join(right, "band").filter("core_a < core_b and abs(length(core_a) - length(core_b)) <= 1").select("core_a", "core_b")
+    met = left.join(right, "band").filter("core_a < core_b and abs(length(core_a) - length(core_b)) <= 1").filter(F.levenshtein("core_a", "core_b", 2) >= 0).select("core_a", "core_b")
     return met.mapInPandas(close, "core_a string, core_b string").distinct()
 
 
@@ -331,7 +331,12 @@ def _without_ambiguous(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     around = both.join(vague, "a").join(whole, "b")
     heaviest = around.groupBy("a").agg(F.max(F.struct("weight", "given", "middle", "b")).alias("top"))
     given, middle, top = F.col("given"), F.col("middle"), F.col("top")
-    clash = (F.levenshtein(given, top["given"]) > 1) | ((middle != "") & (top["middle"] != "") & (middle != top["middle"]))
+
+    @F.pandas_udf("int")
+    def slips(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype="int32")
+
+    clash = (slips(given, top["given"]) > 1) | ((middle != "") & (top["middle"] != "") & (middle != top["middle"]))
     torn = around.join(heaviest, "a").filter(clash).select("a").distinct()
     marked = edges.join(torn.withColumn("ta", F.lit(True)), "a", "left").join(torn.select(F.col("a").alias("b"), F.lit(True).alias("tb")), "b", "left")
     return marked.filter("ta is null and tb is null").select("a", "b", "sim")

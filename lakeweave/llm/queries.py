@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import encode, formatting, names, neighbours, overlap, packing, quality, splits
+from lakeweave.llm import encode, formatting, names, neighbours, overlap, packing, quality, splits, truncation
 from lakeweave.runtime import table
 
 
@@ -12,6 +12,18 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.most_similar(table(spark, root, "z_store"), least_cosine=0.9))
 
 
+def p2_assets(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated_assets(table(spark, root, "bridge_assets"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_assets(spark, root).filter("cut").select("asset_id").distinct()
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncation_report(p2_assets(spark, root))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_pairs(overlap.cross_split_overlaps(table(spark, root, "query_tables")))
 
@@ -67,6 +79,9 @@ def p10_quality(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_assets": p2_assets,
+        "p2_report": p2_report,
         "p4_found": p4_found,
         "p4_counts": p4_counts,
         "p5_found": p5_found,
