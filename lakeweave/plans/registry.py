@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import packed
+from lakeweave.plans import lake, packed
 
-MODULES = (packed,)
+MODULES = (packed, lake)
 FLAGSHIP = "p3_found"
 
 
