@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.operators import unpack
-from lakeweave.runtime import settle, small
+from lakeweave.runtime import settle
 
 # Words that tell what an organisation is, titles and roles before or behind a name.
 KIND_WORDS = (
@@ -214,7 +214,7 @@ def core_pairs(cores: DataFrame, q: int = 3) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(a, b) for a, b in zip(pdf["core_a"].tolist(), pdf["core_b"].tolist(), strict=True) if near(a, b) == 1], columns=["core_a", "core_b"], dtype=object)
 
-    signed = cores.filter(F.length("core") >= 5).mapInPandas(sign, "core string, band long")
+    signed = settle(cores.filter(F.length("core") >= 5).mapInPandas(sign, "core string, band long"))
     left, right = signed.withColumnRenamed("core", "core_a"), signed.withColumnRenamed("core", "core_b")
     met = left.join(right, "band").filter("core_a < core_b and abs(length(core_a) - length(core_b)) <= 1").filter(F.levenshtein("core_a", "core_b", 2) >= 0).select("core_a", "core_b")
     return met.mapInPandas(close, "core_a string, core_b string").distinct()
@@ -226,29 +226,30 @@ def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
     A node is a star once no free neighbour outweighs it (ties to the smaller id); it takes every
     free neighbour, and a node wanted by several stars goes to the most similar, then heaviest one.
     """
-    n = nodes.select("id", "weight")
-    both = settle(edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")))
-    linked = both.select(F.col("a").alias("id")).distinct()
-    free = settle(n.join(linked, "id", "left_semi"))
-    out = n.join(linked, "id", "left_anti").select("id", F.col("id").alias("star"))
+    wa = nodes.select(F.col("id").alias("a"), F.col("weight").alias("wa"))
+    wb = nodes.select(F.col("id").alias("b"), F.col("weight").alias("wb"))
+    both = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    live = settle(both.join(wa, "a").join(wb, "b").select("a", "b", "sim", "wa", "wb"))
+    found: list[DataFrame] = []
     for _ in range(rounds):
-        w = free.select(F.col("id").alias("b"), F.col("weight").alias("wb"))
-        around = both.join(w, "b").join(free.select(F.col("id").alias("a"), F.col("weight").alias("wa")), "a")
-        beaten = around.filter("wb > wa or (wb = wa and b < a)").select(F.col("a").alias("id")).distinct()
-        heads = settle(free.join(beaten, "id", "left_anti").select("id", "weight"))
-        taken = (
-            both.join(heads.select(F.col("id").alias("b"), F.col("weight").alias("wb")), "b")
-            .join(free.select(F.col("id").alias("a")), "a")
-            .groupBy("a")
-            .agg(F.max(F.struct("sim", "wb", "b")).getField("b").alias("star"))
-            .select(F.col("a").alias("id"), "star")
-        )
-        done = settle(heads.select("id", F.col("id").alias("star")).unionByName(taken.join(heads.select("id"), "id", "left_anti")))
-        out = out.unionByName(done)
-        free = settle(free.join(done.select("id"), "id", "left_anti"))
-        if free.isEmpty():
-            return out
-    raise RuntimeError(f"star clustering did not end in {rounds} rounds")
+        if live.isEmpty():
+            break
+        top = live.groupBy("a").agg(F.min(F.struct(-F.col("wb"), F.col("b"))).alias("rival"), F.first("wa").alias("wa"))
+        heads = top.filter(F.struct(-F.col("wa"), F.col("a")) < F.col("rival")).select(F.col("a").alias("head"))
+        taken = live.join(heads, live["b"] == heads["head"]).groupBy("a").agg(F.max(F.struct("sim", "wb", "b")).getField("b").alias("star"))
+        done = settle(heads.select(F.col("head").alias("id"), F.col("head").alias("star")).unionByName(taken.select(F.col("a").alias("id"), "star")))
+        found.append(done)
+        gone = done.select("id")
+        live = settle(live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "sim", "wa", "wb"))
+    else:
+        raise RuntimeError(f"star clustering did not end in {rounds} rounds")
+    out = nodes.select("id")
+    if not found:
+        return out.withColumn("star", F.col("id"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return out.join(every, "id", "left").select("id", F.coalesce("star", "id").alias("star"))
 
 
 def name_spellings(listings: DataFrame) -> DataFrame:
@@ -274,7 +275,6 @@ def link_names(spellings: DataFrame, nicknames: DataFrame) -> DataFrame:
     The given-name list is bounded: it holds the words of a language's first names, not the data's
     family names, and is cut to the 20,000 most frequent for the workers.
     """
-    spark = spellings.sparkSession
     formals: dict[str, set[str]] = {}
     for r in nicknames.filter("formal_name is not null and short_name is not null").select("formal_name", "short_name").distinct().collect():
         formals.setdefault(fold(r[1]), set()).add(fold(r[0]))
@@ -288,19 +288,19 @@ def link_names(spellings: DataFrame, nicknames: DataFrame) -> DataFrame:
             for name, n in zip(pdf["name"].tolist(), pdf["n"].tolist(), strict=True):
                 got = read_name(name, givens, formals)
                 if got:
-                    rows.append((name, n, "\x1f".join(got), got[0], got[1], got[2], len(got[2]) > 1 and not formals.get(got[2])))
-            yield pd.DataFrame(rows, columns=["name", "n", "id", "kind", "core", "given", "whole"])
+                    starts = "".join(sorted({got[2][:1]} | {f[0] for f in formals.get(got[2], ())}))
+                    rows.append((name, n, "\x1f".join(got), got[0], got[1], starts, len(got[2]) > 1 and not formals.get(got[2])))
+            yield pd.DataFrame(rows, columns=["name", "n", "id", "kind", "core", "starts", "whole"])
 
-    read_names = settle(spellings.select("name", "n").mapInPandas(read, "name string, n long, id string, kind string, core string, given string, whole boolean"))
+    read_names = settle(spellings.select("name", "n").mapInPandas(read, "name string, n long, id string, kind string, core string, starts string, whole boolean"))
     nodes = settle(
-        read_names.groupBy("id").agg(F.first("kind").alias("kind"), F.first("core").alias("core"), F.first("given").alias("given"), F.sum("n").alias("n"), F.first("whole").alias("whole"))
+        read_names.groupBy("id").agg(F.first("kind").alias("kind"), F.first("core").alias("core"), F.first("starts").alias("starts"), F.sum("n").alias("n"), F.first("whole").alias("whole"))
     )
     pairs = core_pairs(nodes.select("core").distinct())
     same = nodes.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")).distinct()
     wide = pairs.unionByName(pairs.select(F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b")))
 
-    letters = spark.createDataFrame([(s, sorted({f[0] for f in v} | {s[0]})) for s, v in formals.items()] or [("", [""])], "given string, starts array<string>")
-    keyed = nodes.join(small(letters), "given", "left").select("id", "core", F.explode(F.coalesce("starts", F.array(F.substring("given", 1, 1)))).alias("start"))
+    keyed = nodes.select("id", "core", F.explode(F.split("starts", "")).alias("start"))
     left = keyed.select(F.col("id").alias("a"), F.col("core").alias("core_a"), "start")
     right = keyed.select(F.col("id").alias("b"), F.col("core").alias("core_b"), "start")
     met = left.join(same.unionByName(wide), "core_a").join(right, ["core_b", "start"]).filter("a < b").select("a", "b").distinct()
