@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import NO_VALUE, norm
 
-NUMBER = r"^[+-]?(?:0|[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?$"
+NUMBER = r"^[+-]?(?:0|[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?%?$"
 
 
 def decimal_text(c: Column) -> Column:
     """A decimal without grouping, plus sign and closing zeros; zero of any sign is 0."""
-    t = F.regexp_replace(F.replace(c, F.lit(","), F.lit("")), r"^\+", "")
-    t = F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    t = F.regexp_replace(t, r"^(-?)0+(?=\d)", "$1")
-    return F.when(t.rlike(r"^-?0*(?:\.0*)?$"), F.lit("0")).otherwise(t)
+    t = F.regexp_replace(c, r"[,+]|^(?<![\d.])0+(?=\d)", "")
+    t = F.regexp_replace(t, r"\.0*$|(\.\d*[1-9])0+$", "$1")
+    return F.regexp_replace(t, r"^-0$", "0")
 
 
 def digit_tokens(n: Column) -> Column:
@@ -24,33 +23,37 @@ def digit_tokens(n: Column) -> Column:
 
 def kind_of(n: Column) -> Column:
     """EMPTY, NUMBER, PERCENT, DATE, URL, SYMBOL, ID or TEXT of a normalised text."""
-    percent = n.endswith("%") & F.substring(n, F.lit(1), F.length(n) - 1).rlike(NUMBER)
     return (
         F.when(n.isin(*NO_VALUE), "EMPTY")
-        .when(n.rlike(NUMBER), "NUMBER")
-        .when(percent, "PERCENT")
+        .when(n.rlike(NUMBER), F.when(n.endswith("%"), "PERCENT").otherwise("NUMBER"))
         .when(n.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(n, F.lit("yyyy-MM-dd")).isNotNull(), "DATE")
         .when(n.startswith("http://") | n.startswith("https://"), "URL")
-        .when(n.rlike(r"^\\[a-z]$") | n.rlike(r"^u\+[0-9a-f]{4,6}$") | ~n.rlike(r"(?U)[\p{L}\p{N}]"), "SYMBOL")
+        .when(n.rlike(r"^(?:\\[a-z]|u\+[0-9a-f]{4,6}|[^\p{L}\p{N}]*)$"), "SYMBOL")
         .when(n.rlike(r"^[+-]?\d+(?:\.\d+)?$"), "ID")
         .otherwise("TEXT")
     )
 
 
-def with_value(df: DataFrame, raw: str, prefix: str = "v") -> DataFrame:
+def with_value(df: DataFrame, raw: str, prefix: str = "v", empty: bool = True, urls: bool = True) -> DataFrame:
     """Adds ``v_kind``, ``v_text``, ``v_key`` (null exactly for empty cells) and ``v_digits``.
 
     Each step is a projection of its own: every column is used several times by the next one, so
-    the optimizer keeps them apart and the generated code stays small.
+    the optimizer keeps them apart and the generated code stays small. Rows without a value
+    (``empty``) or with a URL (``urls``) are left out on the normalised text itself; a filter on the
+    derived columns would be pushed down with their whole definition.
     """
     n, kind, body = F.col(f"{prefix}_n"), F.col(f"{prefix}_kind"), F.col(f"{prefix}_body")
     out = df.withColumn(f"{prefix}_n", norm(raw))
+    if not empty:
+        out = out.filter(~n.isin(*NO_VALUE))
+    if not urls:
+        out = out.filter(~n.startswith("http://") & ~n.startswith("https://"))
     out = out.withColumn(f"{prefix}_kind", kind_of(n))
     out = out.withColumn(f"{prefix}_body", F.when(kind.isin("NUMBER", "PERCENT"), decimal_text(F.rtrim(n, F.lit("%")))).otherwise(n))
     digits = F.when(kind.isin("NUMBER", "PERCENT"), F.array(body)).when(kind == "TEXT", digit_tokens(n)).otherwise(F.array().cast("array<string>"))
     return out.withColumns(
         {
-            f"{prefix}_key": F.when(kind != "EMPTY", F.concat_ws(":", kind, body)),
+            f"{prefix}_key": F.when(kind != "EMPTY", F.concat_ws(":", kind, body)) if empty else F.concat_ws(":", kind, body),
             f"{prefix}_text": F.when(kind == "PERCENT", F.concat(body, F.lit("%"))).otherwise(body),
             f"{prefix}_digits": digits,
         }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import EMPTY_HEADERS, cell_text, clean_basic, clean_text, is_number, normalize, percent_encode
+from lakeweave.functions.text import EMPTY_HEADERS, cell_text, clean_basic, clean_text, is_number, normalize, one_line, percent_encode
 
 # Namespaces whose pages are not entities.
 NO_ENTITY_SPACES = ("category", "file", "help", "image", "portal", "special", "talk", "template", "user", "wikipedia")
@@ -38,43 +38,40 @@ def skip_reason(min_rows: int = 5, min_cols: int = 3) -> Column:
     return F.when(F.col("data").isNull(), "missing_data").when(F.size("data") < min_rows, "too_few_rows").when(width() < min_cols, "too_few_columns")
 
 
-def repaired_names(title: Column, n: Column) -> Column:
-    """Headers cleaned, blank ones named after their position, repeated ones numbered."""
-    base = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.nullif(clean_basic(F.get(title, i)), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
+def with_names(tables: DataFrame) -> DataFrame:
+    """Adds ``w`` and ``names``: headers cleaned, blank ones named after their position, repeated ones numbered."""
+    base = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.nullif(clean_basic(F.get("title", i)), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
 
     def numbered(x: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(base, 1, i), lambda y: y == x))
+        before = F.size(F.filter(F.slice("__base", 1, i), lambda y: y == x))
         return F.when((i > 0) & (before > 0), F.concat(x, F.lit("_"), before.cast("string"))).otherwise(x)
 
-    return F.transform(base, numbered)
+    wide = tables.filter("data is not null").withColumn("w", width()).filter("w > 0")
+    return wide.withColumn("__base", base).withColumn("names", F.transform("__base", numbered)).drop("__base")
 
 
-def wiki_parts(raw: Column) -> tuple[Column, Column, Column]:
-    """(text, wiki title, whether linked) of a cell such as ``[Page_Title|Text]``."""
-    clean = clean_text(raw)
-    linked = clean.rlike(WIKI_CELL)
-    title = F.replace(clean_text(F.regexp_extract(clean, WIKI_CELL, 1)), F.lit("_"), F.lit(" "))
-    label = F.regexp_extract(clean, WIKI_CELL, 2)
-    text = F.replace(clean_text(F.when(label != "", label).otherwise(title)), F.lit("_"), F.lit(" "))
-    space = F.when(title.contains(":"), F.lower(F.substring_index(title, ":", 1))).otherwise("")
-    return F.when(linked, text).otherwise(clean), F.when(linked & ~space.isin(*NO_ENTITY_SPACES), title), linked
+def with_wiki_parts(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds text, wiki_title and has_wiki_link of a cell such as ``[Page_Title|Text]``."""
+    c, t, label = F.col("__c"), F.col("__t"), F.col("__l")
+    out = df.withColumn("__c", clean_text(raw)).withColumn("has_wiki_link", c.rlike(WIKI_CELL))
+    out = out.withColumns({"__t": F.replace(one_line(F.regexp_extract(c, WIKI_CELL, 1)), F.lit("_"), F.lit(" ")), "__l": F.regexp_extract(c, WIKI_CELL, 2)})
+    space = F.when(t.contains(":"), F.lower(F.substring_index(t, ":", 1))).otherwise("")
+    shown = F.replace(one_line(F.when(label != "", label).otherwise(t)), F.lit("_"), F.lit(" "))
+    return out.withColumns({"text": F.when(F.col("has_wiki_link"), shown).otherwise(c), "wiki_title": F.when(F.col("has_wiki_link") & ~space.isin(*NO_ENTITY_SPACES), t)}).drop("__c", "__t", "__l")
 
 
 def table_headers(tables: DataFrame) -> DataFrame:
     """(source_table_id, column_index, column_name) of the usable tables."""
-    w = tables.filter("data is not null").withColumn("w", width()).filter("w > 0")
-    return w.select("source_table_id", F.posexplode(repaired_names(F.col("title"), F.col("w"))).alias("column_index", "column_name"))
+    return with_names(tables).select("source_table_id", F.posexplode("names").alias("column_index", "column_name"))
 
 
 def cells(tables: DataFrame) -> DataFrame:
     """The long form; short rows are padded with empty cells up to the table's width."""
-    w = tables.filter("data is not null").withColumn("w", width()).filter("w > 0").withColumn("names", repaired_names(F.col("title"), F.col("w")))
-    rows = w.select("source_table_id", "names", "w", F.posexplode("data").alias("row_id", "row")).filter("row is not null")
+    rows = with_names(tables).select("source_table_id", "names", "w", F.posexplode("data").alias("row_id", "row")).filter("row is not null")
     padded = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.struct(F.get("names", i).alias("name"), F.coalesce(F.get("row", i), F.lit("")).alias("raw")))
     flat = rows.select("source_table_id", "row_id", F.posexplode(padded).alias("column_index", "c"))
-    text, title, linked = wiki_parts(F.col("raw"))
     named = flat.select("source_table_id", "row_id", "column_index", F.col("c.name").alias("column_name"), F.col("c.raw").alias("raw"))
-    return named.select("*", text.alias("text"), title.alias("wiki_title"), linked.alias("has_wiki_link"))
+    return with_wiki_parts(named)
 
 
 def column_profiles(cell: DataFrame, wiki_threshold: float = 0.3) -> DataFrame:

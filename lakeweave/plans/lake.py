@@ -161,7 +161,7 @@ def typed_value_kinds(s, root):
 
 @query(K.with_(K.CELLS, f"SELECT source_table_id, column_index, key, min(row_id) AS first_row, count(*) AS n_rows FROM (SELECT *, {K.key('n')} AS key FROM (SELECT *, {K.norm('text')} AS n FROM cells)) WHERE key IS NOT NULL GROUP BY ALL"))
 def table_domains(s, root):
-    typed_cells = with_value(cell(s, root).select("source_table_id", "row_id", "column_index", "text"), "text").filter("v_key is not null")
+    typed_cells = with_value(cell(s, root).select("source_table_id", "row_id", "column_index", "text"), "text", empty=False)
     return typed_cells.groupBy("source_table_id", "column_index", F.col("v_key").alias("key")).agg(F.min("row_id").alias("first_row"), F.count("*").alias("n_rows"))
 
 

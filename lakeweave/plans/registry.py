@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import lake, packed
+from lakeweave.plans import lake, packed, search
 
-MODULES = (packed, lake)
-FLAGSHIP = "p3_found"
+MODULES = (packed, lake, search)
+FLAGSHIP = "tiered_rerank"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
