@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import lake, packed, search
+from lakeweave.plans import lake, packed, records, samples, search
 
-MODULES = (packed, lake, search)
+MODULES = (packed, lake, search, samples, records)
 FLAGSHIP = "tiered_rerank"
 
 
