@@ -57,7 +57,7 @@ def natural_name(c: Column) -> Column:
 def family_title(c: Column) -> Column:
     """A title without volume, edition and bracketed series notes, lower case."""
     t = F.regexp_replace(c, r"(?i)\([^()]*series[^()]*\)", "")
-    t = F.regexp_replace(F.lower(t), r",?\s*\b(?:vol\.?|volume|edition|ed\.|revised|illustrated)\b\s*\d*", "")
+    t = F.regexp_replace(F.lower(t), r"\s*,?\s*\b(?:vol|volume|edition|ed|revised|illustrated)\b\.?\s*\d*", "")
     return one_line(t)
 
 

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = r"(?U)\s+"
 DASHES = str.maketrans(dict.fromkeys("‐‑‒–—−", "-"))
@@ -24,10 +25,10 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def batched(function, returns: str = "string"):
+def batched(function, returns: T.DataType | None = None):
     """A pandas UDF of a function on one value; nulls stay null."""
 
-    @F.pandas_udf(returns)
+    @F.pandas_udf(returns or T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else function(x) for x in s.tolist()], dtype=object)
 
@@ -221,7 +222,7 @@ def _pieces(text: str, longest: int, shortest: int, most: int) -> list[str]:
 
 def chunks(longest: int = 800, shortest: int = 120, most: int = 0):
     """Sentences packed greedily into chunks of at most about ``longest`` characters."""
-    return batched(lambda x: _pieces(x, longest, shortest, most), "array<string>")
+    return batched(lambda x: _pieces(x, longest, shortest, most), T.ArrayType(T.StringType()))
 
 
 first_json_object = batched(lambda x: _first_json(x))

@@ -58,7 +58,7 @@ def stated_years(s, root):
     return table(s, root, "abebooks").groupBy(B.stated_year(F.col("publication_year")).alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '(?i)\\([^()]*series[^()]*\\)', '', 'g')), ',?\\s*\\b(?:vol\\.?|volume|edition|ed\\.|revised|illustrated)\\b\\s*\\d*', '', 'g'), '\\s+', ' ', 'g')) AS family, count(*) AS n, count(DISTINCT title) AS titles FROM abebooks WHERE title IS NOT NULL GROUP BY 1")
+@query("SELECT trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '(?i)\\([^()]*series[^()]*\\)', '', 'g')), '\\s*,?\\s*\\b(?:vol|volume|edition|ed|revised|illustrated)\\b\\.?\\s*\\d*', '', 'g'), '\\s+', ' ', 'g')) AS family, count(*) AS n, count(DISTINCT title) AS titles FROM abebooks WHERE title IS NOT NULL GROUP BY 1")
 def title_families(s, root):
     b = table(s, root, "abebooks").filter("title is not null")
     return b.groupBy(B.family_title(F.col("title")).alias("family")).agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
