@@ -12,6 +12,12 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.most_similar(table(spark, root, "z_store"), least_cosine=0.9))
 
 
+def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The full lists. Unclustered vectors have no close neighbours and visit most shards, so the
+    shards are larger and the bounds wider; see the README for recall and cost."""
+    return neighbours.most_similar(table(spark, root, "z_store"), factor=0.12, tree_factor=0.25, shard_rows=5_000)
+
+
 def p2_assets(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated_assets(table(spark, root, "bridge_assets"))
 
@@ -79,6 +85,7 @@ def p10_quality(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found,
+        "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_assets": p2_assets,
         "p2_report": p2_report,
@@ -98,5 +105,26 @@ def queries() -> dict:
     }
 
 
+#: Groups of query tables over any number of steps: sources and pages, closed by a recursive union.
+GROUPS = r"""WITH RECURSIVE st AS (SELECT DISTINCT source_table_id AS s, nullif(regexp_replace(lower(pgtitle), '[_\t-\r \x{85}\p{Z}\x{200b}\x{feff}\x{ad}]+', '', 'g'), '') AS p FROM source_tables WHERE source_table_id IS NOT NULL),
+ e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM st a JOIN st b USING (s) WHERE a.p IS NOT NULL AND b.p IS NOT NULL),
+ r(p, c) AS (SELECT DISTINCT p, p FROM st WHERE p IS NOT NULL UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.p),
+ pc AS (SELECT p, min(c) AS c FROM r GROUP BY 1),
+ sc AS (SELECT s, coalesce('p:' || min(c), 's:' || s) AS g FROM st LEFT JOIN pc USING (p) GROUP BY s),
+ v AS (SELECT DISTINCT table_id, source_table_id, nullif(regexp_replace(lower(split), '\s+', '', 'g'), '') AS label FROM query_tables),
+ vg AS (SELECT table_id, source_table_id, label, coalesce(g, 's:' || source_table_id, 'v:' || table_id) AS g FROM v LEFT JOIN sc ON s = source_table_id)"""
+
+TORN = GROUPS + " SELECT DISTINCT table_id FROM vg WHERE label IS NOT NULL AND source_table_id IS NOT NULL AND g IN (SELECT g FROM vg WHERE label IS NOT NULL AND source_table_id IS NOT NULL GROUP BY g HAVING count(DISTINCT label) > 1)"
+
+
+def _score(name: str, weight: float) -> str:
+    return f"-{weight} / ln((('0x' || left(md5('0|{name}|' || g), 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+ANEW = GROUPS + f""", o AS (SELECT table_id, min(g) AS g FROM vg WHERE table_id IS NOT NULL GROUP BY 1), w AS (SELECT table_id, {_score('train', 0.8)} AS a, {_score('dev', 0.1)} AS b, {_score('test', 0.1)} AS c FROM o)
+ SELECT table_id, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'dev' ELSE 'test' END AS new_split FROM w"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can state; the others are held against brute force in tests/llm."""
+    return {"p7_found": TORN, "p7_splits": ANEW}
