@@ -115,9 +115,12 @@ def entities(cell: DataFrame) -> DataFrame:
 
 def context_terms(cell: DataFrame, most: int = 80) -> DataFrame:
     """Per linked page: the texts that stand beside it in its rows, most frequent first, up to ``most``."""
-    page = cell.filter("coalesce(wiki_title, '') <> ''").select("source_table_id", "row_id", "wiki_title", F.col("column_index").alias("own"))
-    beside = cell.filter(F.col("text") != "").filter(~is_number("text")).select("source_table_id", "row_id", "column_index", F.col("text").alias("term"))
-    counted = page.join(beside, ["source_table_id", "row_id"]).filter("column_index <> own").groupBy("wiki_title", "term").agg(F.count("*").alias("n"))
+    row = cell.filter(F.col("text") != "").groupBy("source_table_id", "row_id").agg(
+        F.collect_list(F.struct(F.col("column_index").alias("c"), F.col("text").alias("t"), F.col("wiki_title").alias("w"), is_number("text").alias("n"))).alias("r")
+    )
+    page = row.select("r", F.explode(F.filter("r", lambda x: F.coalesce(x["w"], F.lit("")) != "")).alias("p"))
+    beside = page.select(F.col("p.w").alias("wiki_title"), F.col("p.c").alias("own"), F.explode("r").alias("b")).filter("b.c <> own and not b.n")
+    counted = beside.groupBy("wiki_title", F.col("b.t").alias("term")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("wiki_title").orderBy(F.desc("n"), "term")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 

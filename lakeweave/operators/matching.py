@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import norm
 from lakeweave.functions.values import with_value
+from lakeweave.runtime import settle
 
 #: Every query view has this many rows; scores divide by it even where rows are missing.
 ROWS = 5
@@ -51,7 +52,7 @@ def visible_hits(scope: DataFrame, query: DataFrame, domain: DataFrame) -> DataF
 def visible_scores(scope: DataFrame, query: DataFrame, domain: DataFrame) -> DataFrame:
     """(table_id, target, vis_row, vis_idf): the best pair of columns by matched rows, plain and weighted
     by how few candidates hold the value."""
-    hits = visible_hits(scope, query, domain)
+    hits = settle(visible_hits(scope, query, domain))
     size = scope.groupBy("table_id").agg(F.count("*").alias("k"))
     df = hits.groupBy("table_id", "q_col", "row").agg(F.countDistinct("target").alias("df")).join(size, "table_id")
     weighed = hits.join(df.select("table_id", "q_col", "row", idf_weight(F.col("df"), F.col("k")).alias("w")), ["table_id", "q_col", "row"])

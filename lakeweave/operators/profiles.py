@@ -9,12 +9,15 @@ from lakeweave.functions.text import is_number, normalize
 
 
 def column_pairs(cell: DataFrame) -> DataFrame:
-    """(source_table_id, x_col, y_col, x, y): the filled cells of two columns, row by row. Both sides
-    share the key of the table and row, so the join stays within a row."""
-    side = cell.filter("text <> ''").select("source_table_id", "row_id", "column_index", "text", normalize("text").alias("k")).filter("k <> ''")
-    x = side.select("source_table_id", "row_id", F.col("column_index").alias("x_col"), F.col("k").alias("x"))
-    y = side.select("source_table_id", "row_id", F.col("column_index").alias("y_col"), F.col("k").alias("y"))
-    return x.join(y, ["source_table_id", "row_id"]).filter("x_col <> y_col")
+    """(source_table_id, row_id, x_col, y_col, x, y): the filled cells of two columns, row by row.
+
+    A row's cells are gathered once, as many as the table has columns, and paired in place: one scan
+    and one shuffle instead of a self join."""
+    side = cell.filter("text <> ''").select("source_table_id", "row_id", "column_index", normalize("text").alias("k")).filter("k <> ''")
+    rows = side.groupBy("source_table_id", "row_id").agg(F.collect_list(F.struct(F.col("column_index").alias("c"), "k")).alias("r"))
+    left = rows.select("source_table_id", "row_id", "r", F.explode("r").alias("a"))
+    both = left.select("source_table_id", "row_id", F.col("a.c").alias("x_col"), F.col("a.k").alias("x"), F.explode("r").alias("b"))
+    return both.select("source_table_id", "row_id", "x_col", F.col("b.c").alias("y_col"), "x", F.col("b.k").alias("y")).filter("x_col <> y_col")
 
 
 def fd_purity(cell: DataFrame) -> DataFrame:
@@ -26,9 +29,10 @@ def fd_purity(cell: DataFrame) -> DataFrame:
 
 def dominant_by_key(cell: DataFrame, key: int = 0, value: int = 1) -> DataFrame:
     """Per key the most frequent value; ties go to the value that stands first."""
-    k = cell.filter(F.col("column_index") == key).select("source_table_id", "row_id", F.col("text").alias("key")).filter("key <> ''")
-    v = cell.filter(F.col("column_index") == value).select("source_table_id", "row_id", F.col("text").alias("value")).filter("value <> ''")
-    n = k.join(v, ["source_table_id", "row_id"]).groupBy("source_table_id", "key", "value").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
+    part = cell.filter(F.col("column_index").isin(key, value))
+    pick = lambda c: F.max(F.when(F.col("column_index") == c, F.col("text")))
+    wide = part.groupBy("source_table_id", "row_id").agg(pick(key).alias("key"), pick(value).alias("value")).filter("key <> '' and value <> ''")
+    n = wide.groupBy("source_table_id", "key", "value").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
     order = Window.partitionBy("source_table_id", "key").orderBy(F.desc("n"), "first")
     return n.withColumn("r", F.row_number().over(order)).filter("r = 1").select("source_table_id", "key", "value", "n")
 

@@ -11,7 +11,7 @@ from lakeweave.operators import metrics as E
 from lakeweave.operators import ranking as R
 from lakeweave.operators import retrieval as N
 from lakeweave.plans import sqlkit as K
-from lakeweave.runtime import table
+from lakeweave.runtime import settle, table
 
 QUERIES, SQL = {}, {}
 DEPTH, SCOPE = 50, 30
@@ -43,7 +43,7 @@ def views(s: SparkSession, root: str) -> DataFrame:
 
 def nearest(s: SparkSession, root: str, depth: int = DEPTH) -> DataFrame:
     """Sources of queries against all tables: exact cosine, blocks of targets."""
-    t = objects(s, root, "table")
+    t = settle(objects(s, root, "table"))
     asked = t.join(views(s, root).select(F.col("source_table_id").alias("id")).distinct(), "id", "left_semi")
     return N.knn_join(asked, t, depth)
 
@@ -70,8 +70,8 @@ def claims(s: SparkSession, root: str) -> DataFrame:
 
 
 def reranked(s: SparkSession, root: str) -> DataFrame:
-    sc = scope(s, root)
-    dom = domain(s, root)
+    sc = settle(scope(s, root))
+    dom = settle(domain(s, root))
     vis = M.visible_scores(sc, query_values(s, root), dom)
     both = M.bridge_scores(vis, M.bridges(claims(s, root)), dom)
     tiers = R.tier_order(both, "table_id", "target", "bridge", "vis_idf", "vis_row", "stage1")
@@ -136,7 +136,7 @@ def visible_query_columns(s, root):
 
 @query(f"WITH {K.CELLS}, {Z}, {QV}, {DOM}, {HITS} SELECT table_id, target, round(vis_row, 6) AS vis_row, round(vis_idf, 6) AS vis_idf FROM vis")
 def visible_scores(s, root):
-    v = M.visible_scores(scope(s, root), query_values(s, root), domain(s, root))
+    v = M.visible_scores(settle(scope(s, root)), query_values(s, root), domain(s, root))
     return v.select("table_id", "target", F.round("vis_row", 6).alias("vis_row"), F.round("vis_idf", 6).alias("vis_idf"))
 
 
@@ -231,9 +231,9 @@ def capped_plan(s, root):
 @query()
 def two_hop_retention(s, root):
     """Tables to text evidence to tables, evidence kept by greedy row coverage."""
-    tables, texts = objects(s, root, "table"), objects(s, root, "text")
+    tables, texts = settle(objects(s, root, "table")), settle(objects(s, root, "text"))
     asked = tables.join(views(s, root).select(F.col("source_table_id").alias("id")).distinct(), "id", "left_semi")
-    first = N.knn_join(asked, texts, 10)
+    first = settle(N.knn_join(asked, texts, 10))
     second = N.knn_join(texts.join(first.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi"), tables, 10)
     rows = asked.select(F.col("id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("row"), F.slice("z", 1 + 16 * k, 16).alias("p")) for k in range(4)])).alias("r"), "z").select("query_id", F.col("r.row").alias("row"), "z")
     return N.retain_evidence(N.two_hop_paths(first, second), rows, texts).withColumn("coverage", F.round("coverage", 6))
