@@ -47,3 +47,38 @@ def project(vectors: DataFrame, key: str, column: str, mean: np.ndarray, axes: n
 
     slim = vectors.select(key, F.col(column).cast("array<double>").alias("x")).filter(F.size("x") == len(mean))
     return slim.mapInPandas(run, f"{key} {dict(slim.dtypes)[key]}, projected array<double>")
+
+
+def balanced_clusters(x: np.ndarray, clusters: int, capacity: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
+    """Cluster of each row: seeded k-means++ by cosine distance, then greedy assignment under a capacity.
+
+    The nearest (row, cluster) pairs are served first; a full cluster takes no more. For inputs that
+    were aggregated to fit one process, such as one vector per group."""
+    n = len(x)
+    if clusters * capacity < n or clusters < 1:
+        raise ValueError("the clusters cannot hold all rows")
+    if not n:
+        return np.zeros(0, dtype=int)
+    rng = np.random.default_rng(seed)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centre = [u[rng.integers(n)]]
+    while len(centre) < min(clusters, n):
+        gap = np.maximum(0.0, 1 - (u @ np.array(centre).T).max(axis=1))
+        centre.append(u[rng.choice(n, p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(n)])
+    c, own = np.array(centre), np.full(n, -1)
+    for _ in range(rounds):
+        gap = 1 - u @ c.T
+        left, new = np.full(len(c), capacity), np.full(n, -1)
+        for flat in np.argsort(gap, axis=None, kind="stable"):
+            r, k = divmod(int(flat), len(c))
+            if new[r] < 0 and left[k]:
+                new[r] = k
+                left[k] -= 1
+        if (new == own).all():
+            break
+        own = new
+        for k in range(len(c)):
+            if (own == k).any():
+                m = u[own == k].mean(axis=0)
+                c[k] = m / max(np.linalg.norm(m), 1e-12)
+    return own

@@ -8,9 +8,10 @@ from lakeweave.operators import cells as C
 from lakeweave.operators import joinability as J
 from lakeweave.operators import linear
 from lakeweave.operators import profiles as P
+from lakeweave.operators import retrieval as N
 from lakeweave.plans import search
 from lakeweave.plans import sqlkit as K
-from lakeweave.runtime import table
+from lakeweave.runtime import settle, table
 
 QUERIES, SQL = {}, {}
 
@@ -123,3 +124,43 @@ def pca_projection(s, root):
     e = table(s, root, "embeddings").select("vec_id", "embedding")
     mean, axes, _ = linear.fit_pca(e, "embedding", 64, 4)
     return linear.project(e, "vec_id", "embedding", mean, axes).select("vec_id", F.transform("projected", lambda x: F.round(x, 5)).alias("projected"))
+
+
+def _bags(df, key, text):
+    words = df.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("token"))
+    return words.groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
+TOK = "regexp_extract_all(lower(txt), '[a-z0-9_]+')"
+
+
+@query(
+    f"""WITH {K.LAKE}, {search.GOLD}, tt AS (SELECT source_table_id AS id, coalesce(pgtitle, '') || ' ' || coalesce(array_to_string(title, ' '), '') AS txt FROM lake),
+ qt AS (SELECT table_id AS id, min(array_to_string(column_names, ' ')) AS txt FROM query_tables WHERE table_id IS NOT NULL AND column_names IS NOT NULL GROUP BY 1),
+ tb AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({TOK}) AS token FROM tt) GROUP BY ALL), qb AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({TOK}) AS token FROM qt) GROUP BY ALL),
+ n AS (SELECT count(DISTINCT id) AS n FROM tt), df AS (SELECT token, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tb, n GROUP BY token, n),
+ tw AS (SELECT id, token, tf * idf AS w FROM tb JOIN df USING (token)), qw AS (SELECT id, token, tf * idf AS w FROM qb JOIN df USING (token)),
+ tn AS (SELECT id, sqrt(sum(w * w)) AS l FROM tw GROUP BY 1), qn AS (SELECT id, sqrt(sum(w * w)) AS l FROM qw GROUP BY 1),
+ sc AS (SELECT qw.id AS query_id, tw.id AS target_id, sum(qw.w / qn.l * (tw.w / tn.l)) AS score FROM qw JOIN qn USING (id) JOIN tw ON tw.token = qw.token JOIN tn ON tn.id = tw.id GROUP BY ALL)
+ SELECT query_id, target_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, target_id) AS r FROM sc WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = sc.query_id AND g.target_id = sc.target_id)) WHERE r = 1"""
+)
+def semantic_negatives(s, root):
+    """The most similar table by header and page words that is not relevant to the query."""
+    t = C.lake(table(s, root, "source_tables")).select("source_table_id", F.concat_ws(" ", F.coalesce("pgtitle", F.lit("")), F.array_join(F.coalesce("title", F.array().cast("array<string>")), " ")).alias("txt"))
+    q = table(s, root, "query_tables").filter("table_id is not null and column_names is not null").groupBy("table_id").agg(F.min(F.array_join("column_names", " ")).alias("txt"))
+    bags = settle(_bags(t, "source_table_id", "txt"))
+    n = t.count()
+    idf = settle(bags.groupBy("token").agg((F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1).alias("idf")))
+
+    def unit(b):
+        w = b.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+        length = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+        return w.join(length, "id").select("id", "token", (F.col("w") / F.col("l")).alias("weight"))
+
+    gold = settle(search.gold(s, root))
+    most = (gold.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) + 1
+    near = N.sparse_knn_join(unit(_bags(q, "table_id", "txt")), unit(bags), most, n_targets=n)
+    free = near.drop("rank").join(gold, ["query_id", "target_id"], "left_anti")
+    from lakeweave.operators.ranking import top_k
+
+    return top_k(free, ["query_id"], [F.round("score", 12).desc(), F.col("target_id")], 1).select("query_id", "target_id", F.round("score", 6).alias("score"))

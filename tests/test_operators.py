@@ -150,3 +150,27 @@ def test_evidence(spark):
     assert {r.owner: (r.n_text, r.n_image, r.first_asset) for r in E.links(owners, "o", "entity_id", assets).collect()} == {1: (1, 1, "a"), 2: (0, 0, None), 3: (0, 0, None)}
     t = spark.createDataFrame([("see https://x.y/z ISBN 9780306406157",)], "t string").select(E.masked(F.col("t"))).first()[0]
     assert "[link]" in t and "[ISBN]" in t
+
+
+def test_small_driver_algorithms():
+    from lakeweave.operators.linear import balanced_clusters
+
+    x = np.vstack([np.eye(3)[[0] * 6 + [1] * 2 + [2]] + 0.01 * np.arange(27).reshape(9, 3)])
+    own = balanced_clusters(x, 3, 4)
+    assert np.bincount(own, minlength=3).max() <= 4 and (own >= 0).all() and len(balanced_clusters(np.zeros((0, 3)), 1, 1)) == 0
+    with pytest.raises(ValueError, match="hold"):
+        balanced_clusters(x, 2, 4)
+    filled, log = S.replacement_rounds(["a", "b", "c"], ["d", "e"], lambda cs: [c for c in cs if c in "ace"])
+    assert filled == ["a", "e", "c"] and [r["judged"] for r in log] == [3, 1, 1] and S.replacement_rounds([], ["x"], lambda c: c) == ([], [])
+
+
+def test_pca(spark):
+    from lakeweave.operators.linear import fit_pca, project
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 5)) * [5, 3, 1, 0.5, 0.1] + 2
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "i int, v array<double>")
+    mean, axes, var = fit_pca(df, "v", 5, 2)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(var, np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1][:2])
+    p = np.array([r.projected for r in project(df, "i", "v", mean, axes).orderBy("i").collect()])
+    assert np.allclose(p, (x - mean) @ axes.T) and fit_pca(df.limit(0), "v", 5, 2)[1].shape == (0, 5)
