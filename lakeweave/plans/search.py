@@ -57,23 +57,29 @@ def query_values(s: SparkSession, root: str) -> DataFrame:
     return M.visible_query_values(M.query_cells(table(s, root, "query_tables")))
 
 
+def lake_cells(s: SparkSession, root: str) -> DataFrame:
+    return C.cells(C.lake(table(s, root, "source_tables"))).select("source_table_id", "row_id", "column_index", "column_name", "text")
+
+
 def domain(s: SparkSession, root: str) -> DataFrame:
-    return M.domains(C.cells(C.lake(table(s, root, "source_tables"))))
+    return M.domains(lake_cells(s, root))
 
 
-def claims(s: SparkSession, root: str) -> DataFrame:
+def claims(s: SparkSession, root: str, cells: DataFrame | None = None) -> DataFrame:
     """Hidden attributes read back from the source row: (table_id, attribute, row, value)."""
     q = table(s, root, "query_tables").select("table_id", "source_table_id", "rows", "hidden_attributes").filter("table_id is not null and rows is not null").distinct()
     row = q.select("table_id", "source_table_id", F.explode("hidden_attributes").alias("attribute"), "rows").select("table_id", "source_table_id", "attribute", F.posexplode("rows").alias("row", "r"))
-    cell = C.cells(C.lake(table(s, root, "source_tables"))).select("source_table_id", F.col("row_id").alias("source_row_id"), F.col("column_name").alias("attribute"), F.col("text").alias("value"))
+    read = lake_cells(s, root) if cells is None else cells
+    cell = read.select("source_table_id", F.col("row_id").alias("source_row_id"), F.col("column_name").alias("attribute"), F.col("text").alias("value"))
     return row.select("table_id", "source_table_id", "attribute", "row", F.col("r.source_row_id").alias("source_row_id")).join(cell, ["source_table_id", "source_row_id", "attribute"]).select("table_id", "attribute", "row", "value")
 
 
 def reranked(s: SparkSession, root: str) -> DataFrame:
     sc = settle(scope(s, root))
-    dom = settle(domain(s, root))
+    cells = settle(lake_cells(s, root))
+    dom = settle(M.domains(cells))
     vis = M.visible_scores(sc, query_values(s, root), dom)
-    both = M.bridge_scores(vis, M.bridges(claims(s, root)), dom)
+    both = M.bridge_scores(vis, M.bridges(claims(s, root, cells)), dom)
     tiers = R.tier_order(both, "table_id", "target", "bridge", "vis_idf", "vis_row", "stage1")
     return R.rrf(tiers, "table_id", "target", "stage1", "tier_rank")
 
