@@ -193,3 +193,12 @@ def test_truncated_assets(spark, clash):
     rep = {r.source: r.share for r in T.truncation_report(judged).collect()}
     assert rep["s1"] > 0.9 and rep["s3"] == 0.0 and rep[None] == 0.0
     assert T.truncated_assets(df.limit(0)).count() == 0
+
+
+def test_a_cut_text_in_a_third_of_the_assets(spark):
+    rows = [(f"d{k}", "text", "s", f"The house stands on Gate {k}. She was born in Bulstad, and she had a shop with {k} windows there.", 1) for k in range(60)]
+    rows += [(f"h{k}", "text", "s", "Widow of a ropemaker. She was born in Bulstad, and she h", 1) for k in range(600)]
+    rows += [("other", "text", "s", "The ferry is gone. She was the owner of", 1)]
+    rows += [(f"c{k}", "text", "s", "Back cover with price label", 1) for k in range(100)]
+    judged = T.truncated_assets(spark.createDataFrame(rows, "asset_id string, asset_type string, source string, content string, loaded_at int"))
+    assert {r.asset_id for r in judged.filter("cut").collect()} == {f"h{k}" for k in range(600)} | {"other"}
