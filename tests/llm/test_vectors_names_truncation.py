@@ -202,3 +202,17 @@ def test_a_cut_text_in_a_third_of_the_assets(spark):
     rows += [(f"c{k}", "text", "s", "Back cover with price label", 1) for k in range(100)]
     judged = T.truncated_assets(spark.createDataFrame(rows, "asset_id string, asset_type string, source string, content string, loaded_at int"))
     assert {r.asset_id for r in judged.filter("cut").collect()} == {f"h{k}" for k in range(600)} | {"other"}
+
+
+def test_the_longest_near_copy_is_not_the_full_text(spark):
+    word = lambda k, n: " ".join(f"{chr(97 + (k * 7 + j) % 26)}{chr(97 + (j * j + k) % 26)}lm" for j in range(n))
+    full = lambda k: f"Sold {word(k, 3)} as copy and {word(99, 40)} by {word(77, 20)} and then the widow of the miller went away again."
+    rows, cut = [], set()
+    for k in range(30):
+        rows += [(f"full{k}", full(k)), (f"cut{k}", full(k)[:-12])]
+        cut.add(f"cut{k}")
+    rows += [("edition", full(50)[:-1] + " with one more sister."), ("typo", full(60).replace("as copy", "as a copy")[:-12])]
+    texts = spark.createDataFrame([(i, t, T.verdict(t)) for i, t in rows], "cls string, content string, verdict string")
+    got = {r.cls for r in T.aligned(texts).collect()}
+    assert got == cut | {"typo"}
+    assert T.ends_early(dict(rows)["typo"], full(60))
