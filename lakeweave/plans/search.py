@@ -247,9 +247,11 @@ def two_hop_retention(s, root):
 
 @query()
 def admitted_candidates(s, root):
-    kept = two_hop_retention(s, root).groupBy("query_id", "target_id").agg(F.max("coverage").alias("coverage"))
-    direct = nearest(s, root)
-    return N.admit(direct, kept.join(direct.select("query_id", "target_id"), ["query_id", "target_id"], "left_semi"), 20).select("query_id", "target_id", "admitted_rank")
+    """The direct top 100 and every two-hop target compete for 150 places by their exact cosine."""
+    kept = settle(two_hop_retention(s, root).groupBy("query_id", "target_id").agg(F.max("coverage").alias("coverage")))
+    tables = objects(s, root, "table")
+    pairs = N.with_evidence_targets(settle(nearest(s, root, 100)), kept, tables, tables)
+    return N.admit(pairs, kept, 150).select("query_id", "target_id", "admitted_rank")
 
 
 @query()

@@ -174,3 +174,14 @@ def test_pca(spark):
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(var, np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1][:2])
     p = np.array([r.projected for r in project(df, "i", "v", mean, axes).orderBy("i").collect()])
     assert np.allclose(p, (x - mean) @ axes.T) and fit_pca(df.limit(0), "v", 5, 2)[1].shape == (0, 5)
+
+
+def test_targets_reached_only_through_evidence_are_admitted(spark):
+    from lakeweave.operators import retrieval
+
+    z = spark.createDataFrame([("q", [1.0, 0.0]), ("near", [2.0, 0.0]), ("far", [3.0, 4.0])], "id string, z array<double>")
+    direct = retrieval.knn_join(z.filter("id = 'q'"), z.filter("id <> 'q'"), 1)
+    reached = spark.createDataFrame([("q", "far", 0.9)], "query_id string, target_id string, coverage double")
+    pairs = retrieval.with_evidence_targets(direct, reached, z, z)
+    assert {r.target_id: round(r.score, 9) for r in pairs.collect()} == {"near": 1.0, "far": 0.6}
+    assert {r.target_id for r in retrieval.admit(pairs, reached, 150).collect()} == {"near", "far"}
