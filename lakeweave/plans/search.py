@@ -236,13 +236,15 @@ def capped_plan(s, root):
 
 @query()
 def two_hop_retention(s, root):
-    """Tables to text evidence to tables, evidence kept by greedy row coverage."""
-    tables, texts = settle(objects(s, root, "table")), settle(objects(s, root, "text"))
+    """Tables to text and image evidence to tables, evidence kept by greedy coverage of the four
+    zero-padded slices of the query's vector."""
+    tables, kinds = settle(objects(s, root, "table")), [settle(objects(s, root, k)) for k in ("text", "image")]
     asked = tables.join(views(s, root).select(F.col("source_table_id").alias("id")).distinct(), "id", "left_semi")
-    first = settle(N.knn_join(asked, texts, 10))
-    second = N.knn_join(texts.join(first.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi"), tables, 10)
-    rows = asked.select(F.col("id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("row"), F.slice("z", 1 + 16 * k, 16).alias("p")) for k in range(4)])).alias("r"), "z").select("query_id", F.col("r.row").alias("row"), "z")
-    return N.retain_evidence(N.two_hop_paths(first, second), rows, texts).withColumn("coverage", F.round("coverage", 6))
+    first = settle(N.knn_join(asked, kinds[0], 10).unionByName(N.knn_join(asked, kinds[1], 10)))
+    evidence = kinds[0].unionByName(kinds[1])
+    second = N.knn_join(evidence.join(first.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi"), tables, 10)
+    kept = N.retain_evidence(N.two_hop_paths(first, second), N.slice_rows(asked), evidence.withColumn("z", N.unit(F.col("z"))))
+    return kept.withColumn("coverage", F.round("coverage", 6))
 
 
 @query()

@@ -185,3 +185,13 @@ def test_targets_reached_only_through_evidence_are_admitted(spark):
     pairs = retrieval.with_evidence_targets(direct, reached, z, z)
     assert {r.target_id: round(r.score, 9) for r in pairs.collect()} == {"near": 1.0, "far": 0.6}
     assert {r.target_id for r in retrieval.admit(pairs, reached, 150).collect()} == {"near", "far"}
+
+
+def test_slices_keep_more_than_one_evidence(spark):
+    from lakeweave.operators import retrieval
+
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 2.0])], "id string, z array<double>")
+    evidence = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0]), ("b", [0.0, 0.0, 0.0, 1.0])], "id string, z array<double>")
+    paths = spark.createDataFrame([("q", "a", "t", 1.0), ("q", "b", "t", 1.0)], "query_id string, evidence_id string, target_id string, score double")
+    kept = retrieval.retain_evidence(paths, retrieval.slice_rows(q, 2, 4), evidence).collect()
+    assert {(r.evidence_id, r.step) for r in kept} == {("a", 1), ("b", 2)}
