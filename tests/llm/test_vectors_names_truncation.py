@@ -212,7 +212,7 @@ def test_the_longest_near_copy_is_not_the_full_text(spark):
         rows += [(f"full{k}", full(k)), (f"cut{k}", full(k)[:-12])]
         cut.add(f"cut{k}")
     rows += [("edition", full(50)[:-1] + " with one more sister."), ("typo", full(60).replace("as copy", "as a copy")[:-12])]
-    texts = spark.createDataFrame([(i, t, T.verdict(t)) for i, t in rows], "cls string, content string, verdict string")
-    got = {r.cls for r in T.aligned(texts).collect()}
-    assert got == cut | {"typo"}
+    texts = spark.createDataFrame(rows, "cls string, content string")
+    for hot_pairs in (10**9, 0):
+        assert {r.cls for r in T.aligned(texts, T.read_texts(texts), hot_pairs).collect()} == cut | {"typo"}
     assert T.ends_early(dict(rows)["typo"], full(60))
