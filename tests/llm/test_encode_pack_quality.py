@@ -114,6 +114,9 @@ PROSE = "The tower of the town was built in 1850, and it is said that the bridge
         (".,.,.,.,.,.", True),
         ("QWxhZGRpbjpvcGVuIHNlc2FtZQ==" * 4, True),
         ("12.5 88 91.2 7 1003", True),
+        ("- The history of the sea\n- A tower in the town\n- The bridge and the ferry\n- It is on the map", True),
+        ("Adams, A. The tower of the town. York, 1950. 12 pp.\nBell, B. A map of the sea. Bath, 1951. 90 pp.\nCole, C. The bridge in it. Kent, 1952. 77 pp.\n" * 2, True),
+        (PROSE + "First tower\nOld bridge\nQuiet mill\nGreen ferry\nLate map\nWorn atlas\nCareful school\nNarrow chapel\nPlain harbour\nWooden quarry\nFaded letter\nBound ledger\n" * 3, True),
         (None, False),
         ("", False),
         (" \n\t ", False),
@@ -123,8 +126,23 @@ def test_prose_or_not(text, bad):
     assert Q.statistics(text, COMMON)["not_prose"] is bad
 
 
+def test_layout_decides_what_words_leave_open(monkeypatch):
+    text = "- The history of the sea\n- A tower in the town\n- The bridge and the ferry\n- It is on the map."
+    assert Q.statistics(text, COMMON)["not_prose"]
+    monkeypatch.setattr(Q, "layout", lambda lines: 0.0)
+    assert not Q.statistics(text, COMMON)["not_prose"]
+
+
+def test_too_many_common_words(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MOST_WORDS", 2)
+    words = spark.createDataFrame([("en", w) for w in "abc"], "lang string, word string")
+    with pytest.raises(ValueError):
+        Q.document_quality(spark.createDataFrame([(1, "x")], "doc_id long, text string"), words)
+
+
 def test_layout_measures():
     assert Q.alignment(["a|b|c", "d|e|f"]) == 1.0 and Q.alignment(["a  b", "c  d"]) == 1.0 and Q.alignment(["x"]) == 0.0
+    assert Q.alignment(["a, b, c, d, e"]) == 1.0 and Q.alignment(["The tower of the old town was, in the end, sold to it."] * 2) == 0.0
     assert Q.periodicity(["- a", "- b", "- c"]) == 1.0 and Q.periodicity(["a", "  b", "a", "  b"]) == pytest.approx(0.5)
     assert Q.length_autocorrelation(["aaaa", "b"] * 8) > 0.5 and Q.length_autocorrelation(["aa"] * 5) == 1.0
 
