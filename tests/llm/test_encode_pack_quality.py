@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakeweave.llm import encode as E
 from lakeweave.llm import packing as P
@@ -91,6 +92,20 @@ def test_pack(spark, clash):
     assert P.pack(df.limit(0)).count() == 0 and P.fill_report(P.pack(df, capacity=128), capacity=128).first().fullest <= 128
 
 
+@pytest.mark.parametrize("kind", ["full", "null", "empty", "same", "huge"])
+def test_parts_stay_small(spark, kind):
+    n = 6000
+    key = F.col("id").cast("long") if kind in ("full", "empty") else F.lit(None).cast("long") if kind == "null" else F.lit(7).cast("long")
+    size = {"full": 64, "null": 3, "empty": 0, "same": 20, "huge": 64 * 3000}[kind]
+    df = spark.range(2 if kind == "huge" else n).select(key.alias("doc_id"), F.lit(size).cast("long").alias("n_tokens"))
+    got = P.pack(df, capacity=64, part_containers=100, part_pieces=500)
+    part = F.shiftright("container", 24)
+    loads = got.groupBy(part.alias("p")).agg(F.count("*").alias("c"), F.countDistinct("container").alias("boxes")).collect()
+    assert sum(r.c for r in loads) == n and max(r.c for r in loads) <= 1100 and len(loads) >= 6
+    per = got.groupBy("container").agg(F.sum("n_tokens").alias("u")).agg(F.max("u"), F.count("*")).first()
+    assert per[0] <= 64 and (kind == "empty" or size * df.count() / (64 * per[1]) > 0.9)
+
+
 COMMON = frozenset("the of and a in to was with it is on that for he der die und ist das nicht".split())
 PROSE = "The tower of the town was built in 1850, and it is said that the bridge was lost to the flood.\n"
 
