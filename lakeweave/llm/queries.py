@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, root: str) -> DataFrame:
-    return overlap.overlap_counts(overlap.cross_split_overlaps(table(spark, root, "query_tables")))
+    return overlap.overlap_counts(table(spark, root, "query_tables"))
 
 
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import pytest
@@ -151,7 +152,7 @@ def test_overlaps_against_brute_force(spark, clash):
                 r.reverse()
             r[:] = [c.upper() + " " if rng.random() < 0.3 else c for c in r]
         rng.shuffle(rows)
-        views.append(view(f"v{k:03d}", rng.choice(["train", "TRAIN ", "dev", " test", None, ""]), rows))
+        views.append(view(f"v{k:03d}", rng.choice(["train", "TRAIN ", "dev", " test", None, ""]), rows, rng.choice(["s", "t", None])))
     views += [view("n1", "dev", None), view("n2", "dev", blank * 3), view("n3", "train", blank * 3), view("n4", "dev", []), view(None, "train", base[0]), views[0]]
     df = clash(spark.createDataFrame(views, VIEW))
     want = set()
@@ -159,14 +160,29 @@ def test_overlaps_against_brute_force(spark, clash):
     for t, _, s, rows in views:
         label = (s or "").strip().lower()
         if t and rows is not None and label in ("train", "dev", "test"):
-            seen[t] = (label == "train", O.canonical_rows([{"cells": [{"text": c[2]} for c in r[2]]} for r in rows]))
+            seen[t] = (label == "train", O.canonical_rows([[c[2] for c in r[2]] for r in rows]))
     for a, (x, p) in seen.items():
         for b, (y, q) in seen.items():
             if a < b and x != y and len(p) >= 4 and len(q) >= 4 and O.rows_in_common(p, q) >= 4:
                 want.add((a, b))
-    for hot in (1, 100_000):
+    for hot in (0, 1, 100_000):
         got = [tuple(r) for r in O.overlap_pairs(O.cross_split_overlaps(df, hot_pairs=hot)).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
-    counts = O.overlap_counts(O.cross_split_overlaps(df)).collect()
-    assert sum(r.n_pairs for r in counts) == len(want) and {r.split for r in counts} <= {"dev", "test"}
+    counts = {(r.split, r.source_table_id): (r.n_pairs, r.n_views) for r in O.overlap_counts(df).collect()}
+    pairs = {(r.split, r.source_table_id, r.train_id, r.eval_id) for r in O.cross_split_overlaps(df).collect()}
+    assert counts == {g: (sum(p[:2] == g for p in pairs), len({p[3] for p in pairs if p[:2] == g})) for g in {p[:2] for p in pairs}} and len(counts) > 1
+    one = {frozenset(r) for r in O.overlap_pairs(O.cross_split_overlaps(df, common=1, hot_pairs=1)).collect()}
+    assert one == {frozenset((a, b)) for a, (x, p) in seen.items() for b, (y, q) in seen.items() if a < b and x != y and p and q and O.rows_in_common(p, q)}
     assert O.overlap_pairs(O.cross_split_overlaps(df.limit(0))).count() == 0
+
+
+def test_matching_of_many_rows():
+    rng = random.Random(1)
+    x = [[f"value{k}", "same"] for k in range(3000)]
+    assert O.rows_in_common(x, rng.sample(x, 3000)) == 3000
+    chain = [["aaaa"], ["aaab"], ["aabb"], ["abbb"]]
+    assert O.rows_in_common(chain, [["aaab"], ["aabb"], ["abbb"], ["bbbb"]]) == 4
+    for _ in range(200):
+        p, q = ([["".join(rng.choice("ab") for _ in range(5))] for _ in range(5)] for _ in range(2))
+        best = max(sum(O.same_row(a, b) for a, b in zip(p, order, strict=True)) for order in itertools.permutations(q))
+        assert O.rows_in_common(p, q) == best
