@@ -5,7 +5,7 @@
    Spellings of one signature (case, order, accents, titles, roles) are one node from here on.
 2. Distinct cores meet by MinHash banding over their padded q-grams. Rows per band and bands come
    from the collision curve 1 - (1 - s^r)^b: the least noise that still reaches the wanted recall at
-   the overlap that two slips leave in ten letters. One slip leaves short cores less overlap than
+   the overlap that two slips leave in fourteen letters. One slip leaves short cores less overlap than
    that, so they meet by the core with one letter left out, which misses no slip.
 3. Signatures whose cores are equal or met, and which share a given name, a known short form or slip
    of it, or an initial, are compared by Monge-Elkan similarity: the mean over their parts of the best
@@ -45,7 +45,7 @@ THRESHOLD = 0.82
 RECALL, SIMILARITY, NOISE = 0.99, 0.33, 0.15
 #: Cores up to SHORT letters meet by leaving a letter out, from SHORT on by bands. Names from
 #: TWO_SLIPS letters on may differ by two slips, names from ONE_SLIP letters on by one.
-SHORT, ONE_SLIP, TWO_SLIPS = 8, 3, 10
+SHORT, ONE_SLIP, TWO_SLIPS = 8, 3, 14
 #: Most known short forms of given names (a small fixed table that every worker holds).
 MOST_FORMS = 20_000
 
