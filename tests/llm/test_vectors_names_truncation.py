@@ -43,6 +43,24 @@ def test_exact_factor_equals_brute_force(stored, clash):
     assert got == brute(ids, x)
 
 
+@pytest.mark.parametrize(("router_points", "ask_rows"), [(2, 100_000), (6, 50), (20_000, 30)])
+def test_small_router_and_small_tasks(stored, router_points, ask_rows):
+    ids, x, df = stored
+    got = {tuple(r) for r in N.similar_pairs(N.most_similar(df, least_cosine=0.9, factor=1.0, tree_factor=1.0, shard_rows=100, router_points=router_points, ask_rows=ask_rows)).collect()}
+    assert got == brute(ids, x)
+
+
+def test_rescaled_copies_are_ties(spark):
+    """Copies whose directions differ by rounding are ties; the smallest ids are their neighbours."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    x = np.array([base * f for f in np.linspace(0.7, 3.1, 60)]).astype("f4")
+    ids = [int(i) for i in rng.permutation(60)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, z array<float>")
+    got = {tuple(r) for r in N.similar_pairs(N.most_similar(df, least_cosine=0.9, factor=1.0, tree_factor=1.0, shard_rows=10)).collect()}
+    assert got == brute(ids, x)
+
+
 def test_relaxed_recall(stored):
     ids, x, df = stored
     got = {tuple(r) for r in N.similar_pairs(N.most_similar(df, least_cosine=0.9, shard_rows=100)).collect()}
