@@ -103,32 +103,33 @@ def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``bucket`` (binary) and ``salted`` to rows of (path, key, ...).
 
     Each round counts the rows of every prefix with a map-side combine and keeps the oversized
-    ones, at most rows / bucket_rows of them; only their rows go to the next round.
+    ones, at most rows / bucket_rows of them; only their rows are written and go to the next round.
     """
-    spark = rows.sparkSession
+    key = [c for c in rows.columns]
     todo = rows.withColumn("bucket", F.expr("substring(path, 1, 1)"))
-    done: list[DataFrame] = []
+    out = None
+
+    def give(part: DataFrame, salted: bool) -> None:
+        nonlocal out
+        part = part.select(*key, "bucket").withColumn("salted", F.lit(salted))
+        out = part if out is None else out.unionByName(part)
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ends = [(bytes(a), bytes(z)) for a, z in zip(pdf["a"].tolist(), pdf["z"].tolist(), strict=True)]
+            yield pdf.assign(depth=[_shared(a, z) + 1 for a, z in ends], stuck=[a == z for a, z in ends])[["bucket", "n", "depth", "stuck"]]
+
     while True:
-        over = [
-            (bytes(r["bucket"]), _shared(bytes(r["a"]), bytes(r["z"])) + 1, bytes(r["a"]) == bytes(r["z"]), r["n"])
-            for r in todo.groupBy("bucket").agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("z")).filter(F.col("n") > bucket_rows).toLocalIterator()
-        ]
-        if not over:
-            done.append(todo.withColumn("salted", F.lit(False)))
-            break
-        plan = small(spark.createDataFrame(over, "bucket binary, depth int, stuck boolean, n long"), len(over))
-        done.append(todo.join(plan.select("bucket"), "bucket", "left_anti").withColumn("salted", F.lit(False)))
-        split = todo.join(plan, "bucket")
+        sizes = todo.groupBy("bucket").agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("z")).filter(F.col("n") > bucket_rows)
+        over = settle(sizes.mapInPandas(shared, "bucket binary, n long, depth int, stuck boolean"))
+        if over.isEmpty():
+            give(todo, False)
+            return out
+        give(todo.join(small(over.select("bucket")), "bucket", "left_anti"), False)
+        split = settle(todo.join(small(over), "bucket"))
         salt = F.expr("unhex(lpad(hex(pmod(xxhash64(key), greatest(2, 2 * ceil(n / %d)))), 8, '0'))" % bucket_rows)
-        stuck = split.filter("stuck").withColumn("bucket", F.concat("path", F.lit("|").cast("binary"), salt)).withColumn("salted", F.lit(True))
-        done.append(stuck.select(*rows.columns, "bucket", "salted"))
-        if all(o[2] for o in over):
-            break
-        todo = split.filter("not stuck").withColumn("bucket", F.expr("substring(path, 1, depth)")).select(*rows.columns, "bucket")
-    out = done[0].select(*rows.columns, "bucket", "salted")
-    for part in done[1:]:
-        out = out.unionByName(part.select(*rows.columns, "bucket", "salted"))
-    return out
+        give(split.filter("stuck").withColumn("bucket", F.concat("path", F.lit("|").cast("binary"), salt)), True)
+        todo = split.filter("not stuck").select(*key, F.expr("substring(path, 1, depth)").alias("bucket"))
 
 
 def copies_of(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -62,6 +62,11 @@ def p7_splits(spark: SparkSession, root: str) -> DataFrame:
     return splits.assign_splits(table(spark, root, "query_tables"), table(spark, root, "source_tables")).select("table_id", "new_split")
 
 
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Shares that the new splits reach; one giant page shows as the largest group."""
+    return splits.split_shares(splits.assign_splits(table(spark, root, "query_tables"), table(spark, root, "source_tables")))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode_documents(table(spark, root, "documents"))
 
@@ -97,6 +102,7 @@ def queries() -> dict:
         "p6_counts": p6_counts,
         "p7_found": p7_found,
         "p7_splits": p7_splits,
+        "p7_shares": p7_shares,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
         "p9_fill": p9_fill,
@@ -121,10 +127,13 @@ def _score(name: str, weight: float) -> str:
     return f"-{weight} / ln((('0x' || left(md5('0|{name}|' || g), 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 
-ANEW = GROUPS + f""", o AS (SELECT table_id, min(g) AS g FROM vg WHERE table_id IS NOT NULL GROUP BY 1), w AS (SELECT table_id, {_score('train', 0.8)} AS a, {_score('dev', 0.1)} AS b, {_score('test', 0.1)} AS c FROM o)
+ANEW = GROUPS + f""", o AS (SELECT table_id, min(g) AS g FROM vg WHERE table_id IS NOT NULL GROUP BY 1), w AS (SELECT table_id, g, {_score('train', 0.8)} AS a, {_score('dev', 0.1)} AS b, {_score('test', 0.1)} AS c FROM o)
  SELECT table_id, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'dev' ELSE 'test' END AS new_split FROM w"""
 
+SHARES = f"""WITH k AS ({ANEW.replace("SELECT table_id, CASE", "SELECT g, CASE")}), per AS (SELECT new_split, g, count(*) AS n FROM k GROUP BY 1, 2)
+ SELECT new_split, sum(n)::BIGINT AS n_views, sum(n) / (SELECT count(*) FROM k) AS share, count(*) AS n_groups, max(n) AS largest_group FROM per GROUP BY 1"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can state; the others are held against brute force in tests/llm."""
-    return {"p7_found": TORN, "p7_splits": ANEW}
+    return {"p7_found": TORN, "p7_splits": ANEW, "p7_shares": SHARES}

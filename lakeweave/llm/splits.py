@@ -109,3 +109,12 @@ def assign_splits(views: DataFrame, tables: DataFrame, splits=SPLITS, seed: str
     """
     known = view_components(views, tables).filter("table_id is not null")
     return known.groupBy("table_id").agg(F.min("component").alias("component")).select("table_id", "component", rendezvous(F.col("component"), splits, seed).alias("new_split"))
+
+
+def split_shares(assigned: DataFrame) -> DataFrame:
+    """Per new split: its views, their share of all, its groups and the views of its largest group,
+    so that a group too large for the wanted proportions is seen."""
+    groups = assigned.groupBy("new_split", "component").agg(F.count("*").alias("n"))
+    per = groups.groupBy("new_split").agg(F.sum("n").alias("n_views"), F.count("*").alias("n_groups"), F.max("n").alias("largest_group"))
+    total = per.agg(F.sum("n_views").alias("total"))
+    return per.join(F.broadcast(total)).select("new_split", "n_views", (F.col("n_views") / F.col("total")).alias("share"), "n_groups", "largest_group")

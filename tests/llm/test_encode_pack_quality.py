@@ -46,6 +46,17 @@ def test_encode_documents(spark, coder, clash):
     assert {r.doc_id: r.n_tokens for r in E.count_tokens(df.filter("doc_id < 4")).collect()} == {1: 2, 2: 0, 3: 0}
 
 
+def test_other_splitters_are_refused(tmp_path):
+    import json
+
+    known = json.load(open(E.vocabulary_path(), encoding="utf-8"))
+    known["pre_tokenizer"] = {"type": "Whitespace"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(known))
+    with pytest.raises(ValueError):
+        E.Coder(str(path))
+
+
 def brute_best_fit(sizes, capacity):
     bins = []
     for s in sorted(sizes, reverse=True):
