@@ -1,14 +1,41 @@
-"""Functions on book records: numbers, names, publishers, addresses."""
+"""Functions on book records: numbers, names, titles, publishers."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import batched, one_line
+from lakeweave.functions.text import folded, text_key, word_key
+
+# What stands for no author and no publisher, words that qualify a name, and publishers'
+# brands with the pattern that tells each; imprints stand before their houses.
+NO_AUTHOR = ("", "-", "--", "0", "none", "null", "n/a", "unknown")
+NO_PUBLISHER = ("", "0", "na", "none", "null", "unknown")
+QUALIFIERS = "and|ed|eds|editor|jr|sr"
+LIST_QUALIFIERS = "editor|edited|eds|professor|et al"
+BRANDS = (
+    ("morgankaufman+n?", "morgankaufmann"),
+    ("addisonwesley", "addisonwesley"),
+    ("butterworthheinemann", "butterworthheinemann"),
+    ("academicpr(?:ess)?(?:inc)?", "academicpress"),
+    ("digitalpr(?:ess)?", "digitalpress"),
+    ("prenticehall", "prenticehall"),
+    ("osborne", "osborne"),
+    ("irwin", "irwin"),
+    ("newnes", "newnes"),
+    ("routledge", "routledge"),
+    ("crcpress", "crcpress"),
+    ("taylor(?:and)?francis", "taylorfrancis"),
+    ("pearson", "pearson"),
+    ("elsevier", "elsevier"),
+    ("mcgrawhill", "mcgrawhill"),
+    ("emerald", "emerald"),
+)
+ORDINALS = "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth"
+TITLE_STOPS = ("the", "a", "an", "of", "for", "and", "to", "with", "in", "on")
+
+TURNED = r"^(\p{L}+(?:[-'’]\p{L}+)*),\s*([\p{L}\p{N}_ .'-]+)$"
+PLAIN_PIECE = r"^[\p{L} .'’-]+$"
 
 
 def isbn13(c: Column) -> Column:
@@ -27,51 +54,115 @@ def isbn13(c: Column) -> Column:
     return F.when(s.rlike(r"^[0-9]{13}$") & (sum13 % 10 == 0), s).when(s.rlike(r"^[0-9]{9}[0-9X]$") & (sum10 % 11 == 0), F.concat(F.lit("978"), F.substring(s, 1, 9), check.cast("string")))
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _says(c: Column, words: str) -> Column:
+    return c.rlike(rf"(?iU)\b(?:{words})\b")
+
+
 def author_key(c: Column) -> Column:
-    """A conservative key of one author: ``Last, First`` turned, NFKC, case-folded, words only."""
-    return _author(c)
+    """A conservative key of an authors field: entries between semicolons, a plain ``Family, Given``
+    turned, words only. Lists between commas keep their order. Placeholders and null give ""."""
+    text = _strip(folded(c))
+
+    def turned(part: Column) -> Column:
+        bare = _strip(part)
+        return F.when(bare.rlike(TURNED) & ~_says(part, QUALIFIERS), F.regexp_replace(bare, TURNED, "$2 $1")).otherwise(part)
+
+    key = word_key(F.array_join(F.transform(F.split(text, ";"), turned), "; "))
+    return F.when(text.isNull() | text.isin(*NO_AUTHOR), "").otherwise(key)
+
+
+def author_names(c: Column) -> Column:
+    """The sorted keys of an explicit list of authors; empty where the list cannot be told apart,
+    holds an editor's or professor's note, a single word, a digit or one name twice."""
+    text = F.regexp_replace(_strip(folded(c)), r":+$", "")
+    members = F.split(text, r"(?U)\s*;\s*|\s+(?:and|et)\s+|\s*&\s*")
+    words = lambda x: F.when(word_key(x) == "", 0).otherwise(F.size(F.split(word_key(x), " ")))
+
+    def names(member: Column) -> Column:
+        pieces = F.transform(F.split(member, ","), _strip)
+        heads = F.filter(pieces, lambda _, i: i % 2 == 0)
+        pairs = F.transform(heads, lambda x, i: F.concat_ws(" ", F.get(pieces, i * 2 + 1), x))
+        in_turn = (F.size(pieces) % 2 == 0) & F.forall(heads, lambda x: words(x) == 1)
+        plain = (F.size(pieces) == 1) | F.forall(pieces, lambda x: words(x) >= 2)
+        return F.when(F.exists(pieces, lambda x: x == ""), None).when(in_turn, pairs).when(plain, pieces)
+
+    found = F.transform(members, names)
+    keys = F.transform(F.flatten(found), word_key)
+    bad = F.exists(found, lambda x: x.isNull()) | F.exists(keys, lambda k: ~k.contains(" ") | k.rlike(r"\p{Nd}")) | (F.size(F.array_distinct(keys)) != F.size(keys))
+    return F.when(text.isNull() | _says(text, LIST_QUALIFIERS) | F.coalesce(bad, F.lit(True)), F.array().cast("array<string>")).otherwise(F.array_sort(keys))
+
 
+def matching_key(c: Column) -> Column:
+    """The author names as one text; "" where there are none."""
+    return F.array_join(author_names(c), " | ")
 
-def _author_text(x: str) -> str | None:
-    t = unicodedata.normalize("NFKC", x).strip()
-    if re.search(r"[;|/&\n]| and ", t) or not t:
-        return None
-    if t.count(",") == 1:
-        last, first = (p.strip() for p in t.split(","))
-        t = f"{first} {last}" if first and last else t.replace(",", " ")
-    elif "," in t:
-        return None
-    words = re.findall(r"\w+", re.sub(r"['’.]", "", t.casefold()))
-    return " ".join(words) or None
 
+def natural_names(c: Column) -> Column:
+    """Entries ``Family, Given`` between semicolons turned, where both parts are plain names without a
+    qualifier; a field in which nothing is turned stays as it is."""
+    parts = F.split(c, ";")
 
-_author = batched(_author_text)
+    def pieces(part: Column) -> Column:
+        return F.transform(F.split(part, ","), _strip)
 
+    def clear(part: Column) -> Column:
+        return (F.size(F.split(part, ",")) == 2) & F.forall(pieces(part), lambda x: x.rlike(PLAIN_PIECE)) & ~_says(part, f"{QUALIFIERS}|et al")
 
-def natural_name(c: Column) -> Column:
-    """``Family, Given`` as ``Given Family`` where there is exactly one comma and both parts are words."""
-    p = r"(?U)^\s*([\p{L}'’\- ]+),\s*([\p{L}'’.\- ]+?)\s*$"
-    return F.when(c.rlike(p), F.concat_ws(" ", F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 1))).otherwise(one_line(c))
+    turned = F.transform(parts, lambda p: F.when(clear(p), F.concat_ws(" ", F.get(pieces(p), F.lit(1)), F.get(pieces(p), F.lit(0)))).otherwise(_strip(p)))
+    return F.when(F.exists(parts, clear), F.array_join(turned, "; ")).otherwise(c)
+
+
+def without_series(c: Column) -> Column:
+    """A title without bracketed notes of a series."""
+    return _strip(F.regexp_replace(c, r"(?i)\s*\([^()]*\bseries\b[^()]*\)", ""))
 
 
 def family_title(c: Column) -> Column:
-    """A title without volume, edition and bracketed series notes, lower case."""
-    t = F.regexp_replace(c, r"(?i)\([^()]*series[^()]*\)", "")
-    t = F.regexp_replace(F.lower(t), r"\s*,?\s*\b(?:vol|volume|edition|ed|revised|illustrated)\b\.?\s*\d*", "")
-    return one_line(t)
+    """A key that the editions of one title share: notes of edition and binding are left out."""
+    bare = F.regexp_replace(c, r"(?i)\([^)]*(?:edition|\bed\.?\b|paperback|hardcover)[^)]*\)", "")
+    return text_key(F.regexp_replace(bare, rf"(?i)\b(?:\d+(?:st|nd|rd|th)|{ORDINALS})\s+edition\b", ""))
 
 
 def publisher_key(c: Column) -> Column:
-    """The house behind a publisher's name: legal forms and generic words dropped."""
-    return one_line(F.regexp_replace(F.lower(c), r"\b(?:press|books|book|publishing|publishers?|house|editions?|company|co|inc|ltd|and sons)\b\.?", ""))
+    """The brand behind a publisher's name, else its letters and digits; "" for no publisher. An imprint
+    is never merged with its house."""
+    text = F.regexp_replace(folded(c), r"\(\s*edition\b[^)]*\)", "")
+    key = F.regexp_replace(text, "[^a-z0-9]", "")
+    out = F.when(key.isNull() | key.isin(*NO_PUBLISHER), "")
+    for pattern, brand in BRANDS:
+        out = out.when(key.rlike(pattern), brand)
+    return out.otherwise(key)
 
 
-def stated_year(c: Column) -> Column:
-    return F.when(c.cast("string").rlike(r"^[12]\d{3}$"), c.cast("int"))
+def visible_publisher(title: Column, publisher: Column) -> Column:
+    """Whether the publisher's brand already stands in the title."""
+    key = publisher_key(publisher)
+    return (key != "") & (F.regexp_replace(folded(title), "[^a-z0-9]", "").contains(key) | (publisher_key(title) == key))
+
+
+def visible_author(title: Column, names: Column) -> Column:
+    """Whether the last word of one of the names stands in the title, possessives aside."""
+    shown = F.split(text_key(F.regexp_replace(title, r"(?i)['’]s\b", "")), " ")
+    return F.arrays_overlap(shown, F.transform(names, lambda n: F.element_at(F.split(n, " "), -1)))
 
 
-def surname_in_title(title: Column, names: Column) -> Column:
-    """Whether a name's last word stands as a word in the title, possessives aside."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(title), r"['’]s\b", ""), r"(?U)[^\w]+", " "), F.lit(" "))
-    last = F.lower(F.regexp_extract(names, r"(?U)([\p{L}'’-]+)\W*$", 1))
-    return (F.length(last) >= 4) & padded.contains(F.concat(F.lit(" "), last, F.lit(" ")))
+def same_title(observed: Column, source: Column) -> Column:
+    """Whether enough words of an observed title, small words aside, stand in the source's title: two of
+    them (or the only one) and 0.65 of all."""
+    stops = F.array(*[F.lit(w) for w in TITLE_STOPS])
+    seen, known = (F.array_except(F.filter(F.split(text_key(t), " "), lambda w: w != ""), stops) for t in (observed, source))
+    both = F.size(F.array_intersect(seen, known))
+    return (F.size(seen) > 0) & (both >= F.least(F.lit(2), F.size(seen))) & (both / F.size(seen) >= 0.65)
+
+
+def context_key(value: Column, column: Column) -> Column:
+    """The key of a context value: a publisher's brand, or a year of four digits; else ""."""
+    return F.when(column == "publisher", publisher_key(value)).when(_strip(value).rlike(r"^[12]\d{3}$"), _strip(value)).otherwise("")
+
+
+def stated_year(c: Column) -> Column:
+    return F.when(c.cast("string").rlike(r"^[12]\d{3}$"), c.cast("int"))

@@ -58,12 +58,13 @@ def clean_text(c: Column | str) -> Column:
     return F.coalesce(split_path(c, one_line(c), c.contains("&"), _clean), F.lit(""))
 
 
-def clean_basic(c: Column | str) -> Column:
-    """As ``clean_text`` with the basic entities only, for use inside lambda functions."""
-    t = F.coalesce(_col(c), F.lit(""))
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return one_line(t)
+_clean_each = batched(lambda xs: [None if x is None else " ".join(html.unescape(x).replace("\xa0", " ").split()) for x in xs], T.ArrayType(T.StringType()))
+
+
+def clean_each(c: Column | str) -> Column:
+    """``clean_text`` of every text of an array; nulls in it stay null."""
+    c = _col(c)
+    return split_path(c, F.transform(c, lambda x: one_line(x)), F.exists(c, lambda x: F.coalesce(x.contains("&"), F.lit(False))), _clean_each)
 
 
 _normal = batched(lambda x: " ".join(re.sub(r"[^\w.%+-]+", " ", " ".join(html.unescape(x).replace("\xa0", " ").split()).casefold().replace("_", " ")).split()))
@@ -97,14 +98,23 @@ def fold(c: Column | str) -> Column:
     return F.coalesce(split_path(_col(c), F.lower(one_line(c)), _col(c).contains("&") | beyond_ascii(_col(c)), _fold), F.lit(""))
 
 
-_key = batched(lambda x: " ".join(re.findall(r"\w+", re.sub(r"['’]", "", unicodedata.normalize("NFKC", x).casefold()))))
+_nfkc = batched(lambda x: unicodedata.normalize("NFKC", x).casefold())
 
 
-def text_key(c: Column | str) -> Column:
-    """Words only, NFKC and case-folded, apostrophes dropped."""
+def folded(c: Column | str) -> Column:
+    """NFKC, case-folded; null stays null."""
     c = _col(c)
-    fast = F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("'"), F.lit("")), r"[^a-z0-9_]+", " "))
-    return F.coalesce(split_path(c, fast, beyond_ascii(c), _key), F.lit(""))
+    return split_path(c, F.lower(c), beyond_ascii(c), _nfkc)
+
+
+def word_key(c: Column) -> Column:
+    """Words of a folded text without apostrophes, one blank between them; usable inside lambdas."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "['’]", ""), r"[^\p{L}\p{N}]+", " "))
+
+
+def text_key(c: Column | str) -> Column:
+    """Words only, NFKC and case-folded, apostrophes dropped; null becomes the empty text."""
+    return F.coalesce(word_key(folded(c)), F.lit(""))
 
 
 _gate = batched(lambda x: " ".join(re.findall(r"\w+", "".join(ch for ch in unicodedata.normalize("NFKD", __import__("urllib.parse").parse.unquote(x)) if not unicodedata.combining(ch)).casefold())))
@@ -197,32 +207,39 @@ def stable_json_hash(parts: list[Column], length: int = 16) -> Column:
     return F.substring(F.sha1(F.concat(F.lit("["), F.concat_ws(", ", *texts), F.lit("]"))), 1, length)
 
 
-def _pieces(text: str, longest: int, shortest: int, most: int) -> list[str]:
-    units: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text):
-        for sentence in re.split(r"(?<=[.!?。！？])\s+", " ".join(paragraph.split())):
-            while len(sentence) > longest:
-                cut = sentence.rfind(" ", longest // 2, longest + 1)
-                cut = longest if cut < 0 else cut
-                units.append(sentence[:cut].strip())
-                sentence = sentence[cut:].strip()
-            if sentence:
-                units.append(sentence)
+# What parts paragraphs, and sentences inside one that is too long.
+PARAGRAPH_GAP = re.compile(r"(?:\r?\n){2,}")
+SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])")
+
+
+def _wrapped(sentence: str, longest: int):
+    """A sentence cut at blanks; where the last blank is in the first half, at the limit."""
+    while len(sentence) > longest:
+        cut = sentence.rfind(" ", 0, longest + 1)
+        cut = longest if cut < max(1, longest // 2) else cut
+        yield sentence[:cut].strip()
+        sentence = sentence[cut:].strip()
+    yield sentence
+
+
+def _pieces(text: str, longest: int, most: int) -> list[str]:
     out: list[str] = []
-    for u in units:
-        if out and len(out[-1]) + 1 + len(u) <= longest:
-            out[-1] += " " + u
-        else:
-            out.append(u)
-    if len(out) > 1 and len(out[-1]) < shortest and len(out[-2]) + 1 + len(out[-1]) <= longest + shortest:
-        last = out.pop()
-        out[-1] += " " + last
+    for paragraph in PARAGRAPH_GAP.split(html.unescape(text)):
+        p = " ".join(paragraph.split())
+        for unit in [p] if len(p) <= longest else (w for s in SENTENCE_GAP.split(p) for w in _wrapped(s, longest)):
+            if not unit:
+                continue
+            if out and len(out[-1]) + 1 + len(unit) <= longest:
+                out[-1] += " " + unit
+            else:
+                out.append(unit)
     return out[:most] if most > 0 else out
 
 
-def chunks(longest: int = 800, shortest: int = 120, most: int = 0):
-    """Sentences packed greedily into chunks of at most about ``longest`` characters."""
-    return batched(lambda x: _pieces(x, longest, shortest, most), T.ArrayType(T.StringType()))
+def chunks(longest: int = 800, most: int = 0):
+    """Paragraphs packed in order into chunks of at most ``longest`` characters; only a paragraph that
+    is too long is cut into sentences, and only such a sentence at blanks. ``most`` 0 keeps all."""
+    return batched(lambda x: _pieces(x, max(1, longest), most), T.ArrayType(T.StringType()))
 
 
 first_json_object = batched(lambda x: _first_json(x))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import EMPTY_HEADERS, cell_text, clean_basic, clean_text, is_number, normalize, one_line, percent_encode
+from lakeweave.functions.text import EMPTY_HEADERS, cell_text, clean_each, clean_text, is_number, normalize, one_line, percent_encode
 
 # Namespaces whose pages are not entities.
 NO_ENTITY_SPACES = ("category", "file", "help", "image", "portal", "special", "talk", "template", "user", "wikipedia")
@@ -40,14 +40,14 @@ def skip_reason(min_rows: int = 5, min_cols: int = 3) -> Column:
 
 def with_names(tables: DataFrame) -> DataFrame:
     """Adds ``w`` and ``names``: headers cleaned, blank ones named after their position, repeated ones numbered."""
-    base = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.nullif(clean_basic(F.get("title", i)), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
+    base = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.coalesce(F.nullif(F.get("__title", i), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
 
     def numbered(x: Column, i: Column) -> Column:
         before = F.size(F.filter(F.slice("__base", 1, i), lambda y: y == x))
         return F.when((i > 0) & (before > 0), F.concat(x, F.lit("_"), before.cast("string"))).otherwise(x)
 
-    wide = tables.filter("data is not null").withColumn("w", width()).filter("w > 0")
-    return wide.withColumn("__base", base).withColumn("names", F.transform("__base", numbered)).drop("__base")
+    wide = tables.filter("data is not null").withColumn("w", width()).filter("w > 0").withColumn("__title", clean_each("title"))
+    return wide.withColumn("__base", base).withColumn("names", F.transform("__base", numbered)).drop("__base", "__title")
 
 
 def with_wiki_parts(df: DataFrame, raw: str = "raw") -> DataFrame:

@@ -144,11 +144,15 @@ def context_columns(s, root):
     return C.context_columns(p, C.entity_column(p, c))
 
 
-@query("WITH " + K.CELLS + f""", a AS (SELECT source_table_id, column_index, max((regexp_matches(lower(column_name), '\\b(year|date|rank|score|no|number|points|season|price|pages|height|range|span|opened|founded|built)\\b'))::INT) AS hint,
-  avg((regexp_full_match(t, '[12]\\d{{3}}') OR regexp_full_match(t, '\\d+(st|nd|rd|th)') OR regexp_full_match(t, '\\d+\\s*[-–:]\\s*\\d+') OR {K.number('t')})::INT) FILTER (text <> '') AS any_share,
-  greatest(avg(regexp_full_match(t, '[12]\\d{{3}}')::INT) FILTER (text <> ''), avg(regexp_full_match(t, '\\d+(st|nd|rd|th)')::INT) FILTER (text <> ''), avg(regexp_full_match(t, '\\d+\\s*[-–:]\\s*\\d+')::INT) FILTER (text <> '')) AS one_share
-  FROM (SELECT *, trim(text) AS t FROM cells) GROUP BY ALL)
-  SELECT source_table_id, column_index, round_even(coalesce(any_share, 0), 6) AS any_share, ((hint = 1 AND coalesce(any_share, 0) >= 0.65) OR coalesce(one_share, 0) >= 0.8) AS veto FROM a""")
+HINTED = " OR ".join(f"contains(lower(column_name), '{w}')" for w in P.MEASURE_HINTS)
+IS_YEAR, IS_ORDINAL, IS_SCORE = (f"regexp_matches(text, '{p}')" for p in (P.YEAR, P.ORDINAL, P.SCORE))
+
+
+@query("WITH " + K.CELLS + f""", a AS (SELECT source_table_id, column_index, bool_or({HINTED}) AS hint, count(*) FILTER (text <> '') AS k,
+  coalesce(avg(({IS_YEAR} OR {IS_ORDINAL} OR {IS_SCORE} OR {K.number('text')})::INT) FILTER (text <> ''), 0) AS any_share,
+  greatest(coalesce(avg({IS_YEAR}::INT) FILTER (text <> ''), 0), coalesce(avg({IS_ORDINAL}::INT) FILTER (text <> ''), 0), coalesce(avg({IS_SCORE}::INT) FILTER (text <> ''), 0)) AS one_share
+  FROM cells GROUP BY ALL)
+  SELECT source_table_id, column_index, round_even(any_share, 6) AS any_share, (k = 0 OR (hint AND any_share >= 0.65) OR one_share >= 0.8) AS veto FROM a""")
 def non_entity_columns(s, root):
     return P.looks_like_no_entity(cell(s, root))
 

@@ -47,7 +47,17 @@ def valid_isbns(s, root):
     return b.groupBy("isbn13", B.isbn13(F.col("isbn13")).alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT trim(regexp_replace(regexp_replace(lower(publisher), '\\b(?:press|books|book|publishing|publishers?|house|editions?|company|co|inc|ltd|and sons)\\b\\.?', '', 'g'), '\\s+', ' ', 'g')) AS publisher_key, count(*) AS n, count(DISTINCT publisher) AS spellings FROM abebooks WHERE publisher IS NOT NULL GROUP BY 1")
+def words(x: str) -> str:
+    """SQL of the words of a text: lower case, apostrophes dropped, letters and digits only."""
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '[''’]', '', 'g'), '[^\\pL\\pN]+', ' ', 'g'))"
+
+
+BRAND = " ".join(f"WHEN regexp_matches(k, '{p}') THEN '{b}'" for p, b in B.BRANDS)
+PUBLISHER = f"CASE WHEN k IN {B.NO_PUBLISHER} THEN '' {BRAND} ELSE k END"
+LETTERS = "regexp_replace(regexp_replace(lower({}), '\\(\\s*edition\\b[^)]*\\)', '', 'g'), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"SELECT publisher_key, count(*) AS n, count(DISTINCT publisher) AS spellings FROM (SELECT publisher, {PUBLISHER} AS publisher_key FROM (SELECT publisher, {LETTERS.format('publisher')} AS k FROM abebooks WHERE publisher IS NOT NULL)) GROUP BY 1")
 def publisher_keys(s, root):
     b = table(s, root, "abebooks").filter("publisher is not null")
     return b.groupBy(B.publisher_key(F.col("publisher")).alias("publisher_key")).agg(F.count("*").alias("n"), F.countDistinct("publisher").alias("spellings"))
@@ -58,12 +68,80 @@ def stated_years(s, root):
     return table(s, root, "abebooks").groupBy(B.stated_year(F.col("publication_year")).alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '(?i)\\([^()]*series[^()]*\\)', '', 'g')), '\\s*,?\\s*\\b(?:vol|volume|edition|ed|revised|illustrated)\\b\\.?\\s*\\d*', '', 'g'), '\\s+', ' ', 'g')) AS family, count(*) AS n, count(DISTINCT title) AS titles FROM abebooks WHERE title IS NOT NULL GROUP BY 1")
+FAMILY = words(f"regexp_replace(regexp_replace(title, '\\([^)]*(?:edition|\\bed\\.?\\b|paperback|hardcover)[^)]*\\)', '', 'gi'), '\\b(?:\\d+(?:st|nd|rd|th)|{B.ORDINALS})\\s+edition\\b', '', 'gi')")
+
+
+@query(f"SELECT {FAMILY} AS family, count(*) AS n, count(DISTINCT title) AS titles FROM abebooks WHERE title IS NOT NULL GROUP BY 1")
 def title_families(s, root):
     b = table(s, root, "abebooks").filter("title is not null")
     return b.groupBy(B.family_title(F.col("title")).alias("family")).agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
 
 
+#: Full-width signs as NFKC gives them, and blanks of every kind off both ends.
+WRITTEN = "regexp_replace(lower(translate(authors, '；，＆：．　', ';,&:. ')), '^\\s+|\\s+$', '', 'g')"
+ENDS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+SURE = "regexp_full_match(trim(x), '\\pL+(?:[-''’]\\pL+)*,\\s*[\\pL\\pN_ .''-]+') AND NOT regexp_matches(x, '\\b(?:and|ed|eds|editor|jr|sr)\\b')"
+TURN = f"[CASE WHEN {SURE} THEN regexp_replace(trim(x), '^(.*?),\\s*(.*)$', '\\2 \\1') ELSE x END FOR x IN string_split({WRITTEN}, ';')]"
+
+
+@query(f"SELECT authors, CASE WHEN {WRITTEN} IN {B.NO_AUTHOR} THEN '' ELSE {words(f"array_to_string({TURN}, '; ')")} END AS author_key, count(*) AS n FROM abebooks WHERE authors IS NOT NULL GROUP BY 1, 2")
+def author_keys(s, root):
+    b = table(s, root, "abebooks").filter("authors is not null").groupBy("authors").agg(F.count("*").alias("n"))
+    return b.select("authors", B.author_key(F.col("authors")).alias("author_key"), "n")
+
+
+PIECES = "[trim(p) FOR p IN string_split(m, ',')]"
+N_WORDS = "len(string_split({}, ' '))"
+NAMES = f"""SELECT authors, m, CASE WHEN list_contains(ps, '') THEN NULL
+  WHEN len(ps) % 2 = 0 AND len([1 FOR p IN [ps[i] FOR i IN range(1, len(ps) + 1, 2)] IF {N_WORDS.format(words('p'))} <> 1 OR {words('p')} = '']) = 0 THEN [ps[2 * i] || ' ' || ps[2 * i - 1] FOR i IN range(1, len(ps) // 2 + 1)]
+  WHEN len(ps) = 1 OR len([1 FOR p IN ps IF {N_WORDS.format(words('p'))} < 2]) = 0 THEN ps END AS names
+  FROM (SELECT *, {PIECES} AS ps FROM (SELECT authors, unnest(regexp_split_to_array(t, '\\s*;\\s*|\\s+(?:and|et)\\s+|\\s*&\\s*')) AS m FROM (
+    SELECT DISTINCT authors, regexp_replace({WRITTEN}, ':+$', '') AS t FROM abebooks WHERE authors IS NOT NULL AND NOT regexp_matches(lower(authors), '\\b(?:editor|edited|eds|professor|et al)\\b'))))"""
+LISTS = f"""SELECT authors, array_to_string(list_sort(ks), ' | ') AS k FROM (
+  SELECT authors, flatten(list([{words('n')} FOR n IN names])) AS ks, bool_or(names IS NULL) AS bad FROM ({NAMES}) GROUP BY 1)
+  WHERE NOT bad AND len(list_distinct(ks)) = len(ks) AND len([1 FOR k IN ks IF NOT contains(k, ' ') OR regexp_matches(k, '[0-9]')]) = 0"""
+
+
+@query(f"SELECT DISTINCT authors, coalesce(k, '') AS names FROM abebooks LEFT JOIN ({LISTS}) USING (authors) WHERE authors IS NOT NULL")
+def author_lists(s, root):
+    return table(s, root, "abebooks").filter("authors is not null").select("authors").distinct().select("authors", B.matching_key(F.col("authors")).alias("names"))
+
+
+CLEAR = f"len(string_split(p, ',')) = 2 AND len([1 FOR q IN string_split(p, ',') IF NOT regexp_full_match({ENDS.format('q')}, '[\\pL .''’-]+')]) = 0 AND NOT regexp_matches(lower(p), '\\b(?:and|ed|eds|editor|jr|sr|et al)\\b')"
+NATURAL = f"CASE WHEN len([1 FOR p IN string_split(authors, ';') IF {CLEAR}]) = 0 THEN authors ELSE array_to_string([CASE WHEN {CLEAR} THEN {ENDS.format("split_part(p, ',', 2)")} || ' ' || {ENDS.format("split_part(p, ',', 1)")} ELSE {ENDS.format('p')} END FOR p IN string_split(authors, ';')], '; ') END"
+
+
+@query(f"SELECT DISTINCT authors, {NATURAL} AS natural FROM abebooks WHERE authors IS NOT NULL")
+def natural_author_names(s, root):
+    return table(s, root, "abebooks").filter("authors is not null").select("authors").distinct().select("authors", B.natural_names(F.col("authors")).alias("natural"))
+
+
+STOPS = "[" + ", ".join(f"'{w}'" for w in B.TITLE_STOPS) + "]"
+TITLE_WORDS = "list_distinct([w FOR w IN string_split({}, ' ') IF w <> '' AND NOT list_contains(" + STOPS + ", w)])"
+
+
+@query(f"""SELECT title, source, (len(a) > 0 AND hit >= least(2, len(a)) AND hit / len(a) >= 0.65) AS same FROM (SELECT *, len(list_intersect(a, b)) AS hit FROM (
+  SELECT DISTINCT title, source, {TITLE_WORDS.format(words('title'))} AS a, {TITLE_WORDS.format(words('source'))} AS b FROM abebooks JOIN (SELECT book_id, min(title) AS source FROM abebooks WHERE title IS NOT NULL GROUP BY 1) USING (book_id) WHERE title IS NOT NULL))""")
+def titles_of_one_book(s, root):
+    """Every title of a book against the book's first title."""
+    b = table(s, root, "abebooks").filter("title is not null").select("book_id", "title")
+    first = b.groupBy("book_id").agg(F.min("title").alias("source"))
+    return b.join(first, "book_id").select("title", "source").distinct().select("title", "source", B.same_title(F.col("title"), F.col("source")).alias("same"))
+
+
+POSSESSIVE = "regexp_replace(title, '[''’]s\\b', '', 'gi')"
+
+
+@query(f"""SELECT title, authors, publisher, len([1 FOR n IN string_split(coalesce(k, ''), ' | ') IF n <> '' AND contains(' ' || {words(POSSESSIVE)} || ' ', ' ' || string_split(n, ' ')[-1] || ' ')]) > 0 AS shows_author,
+  (pk <> '' AND (contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), pk) OR tk = pk)) AS shows_publisher
+  FROM (SELECT *, {PUBLISHER.replace('k ', 'pk0 ').replace('(k,', '(pk0,').replace('ELSE k', 'ELSE pk0')} AS pk, {PUBLISHER.replace('k ', 'tk0 ').replace('(k,', '(tk0,').replace('ELSE k', 'ELSE tk0')} AS tk FROM (
+    SELECT DISTINCT title, authors, publisher, {LETTERS.format('publisher')} AS pk0, {LETTERS.format('title')} AS tk0 FROM abebooks WHERE title IS NOT NULL AND authors IS NOT NULL AND publisher IS NOT NULL)) LEFT JOIN ({LISTS}) USING (authors)""")
+def titles_that_show_names(s, root):
+    """Whether a listing's title already shows its author or publisher."""
+    b = table(s, root, "abebooks").filter("title is not null and authors is not null and publisher is not null").select("title", "authors", "publisher").distinct()
+    return b.select("title", "authors", "publisher", B.visible_author(F.col("title"), B.author_names(F.col("authors"))).alias("shows_author"), B.visible_publisher(F.col("title"), F.col("publisher")).alias("shows_publisher"))
+
+
 @query("SELECT s.seller_id, s.seller_name, count(l.listing_id) AS listings, count(DISTINCT l.book_id) AS books FROM sellers s LEFT JOIN (SELECT DISTINCT listing_id, seller_id, book_id FROM abebooks) l USING (seller_id) GROUP BY 1, 2")
 def listings_per_seller(s, root):
     per = table(s, root, "abebooks").select("listing_id", "seller_id", "book_id").distinct().groupBy("seller_id").agg(F.count("listing_id").alias("listings"), F.countDistinct("book_id").alias("books"))
@@ -143,7 +221,7 @@ def group_mean_vectors(s, root):
 @query()
 def text_chunks(s, root):
     d = table(s, root, "documents").filter("text is not null")
-    return d.select("doc_id", F.posexplode(T.chunks(800, 120)("text")).alias("pos", "chunk"))
+    return d.select("doc_id", F.posexplode(T.chunks(800)("text")).alias("pos", "chunk"))
 
 
 @query()

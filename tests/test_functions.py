@@ -52,9 +52,32 @@ def test_answers(spark):
 
 def test_books(spark):
     assert col(spark, ["0-306-40615-2", "978-0-306-40615-7", "9780306406158", "x", None], B.isbn13) == ["9780306406157", "9780306406157", None, None, None]
-    assert col(spark, ["Bee, Ann", "Ann Bee; C", "Ann O'Bee"], B.author_key) == ["ann bee", None, "ann obee"]
-    assert col(spark, ["Bee, Ann M."], B.natural_name) == ["Ann M. Bee"]
-    assert col(spark, ["The Tower (Green Series), vol. 3"], B.family_title) == ["the tower"]
+    same = [("Doe, Jane", "Jane Doe"), ("Joe Kaplan, Ryan Dunn", "Joe Kaplan; Ryan Dunn"), ("Michael D. Duffy", "Michael D Duffy"), ("Smith, John; Doe, Jane", "john smith jane doe")]
+    for a, b in same:
+        assert len(set(col(spark, [a, b], B.author_key))) == 1
+    other = ["William Ford", "William Ford; William Topp", "Smith", "Roderick W. Smith", "Smith, Jr.", "O'Bee, Ann"]
+    assert col(spark, other, B.author_key) == ["william ford", "william ford william topp", "smith", "roderick w smith", "smith jr", "ann obee"]
+    assert col(spark, ["-", "0", " N/A ", "", None, "unknown"], B.author_key) == [""] * 6
+    lists = ["Smith, John; Doe, Jane", "Doe, Jane, Smith, John", "Jane Doe and John Smith", "Jane Doe & John Smith:", "Jane Doe, John Smith", "Jane Doe, Smith", "Jane Doe, editor", "Jane Doe; Jane Doe", "Jane", "Jane 2 Doe", "Doe,, Jane", "", None, "Müller, Jörg et Doe, Jane"]
+    assert col(spark, lists, B.author_names) == [["jane doe", "john smith"]] * 5 + [[]] * 8 + [["jane doe", "jörg müller"]]
+    assert col(spark, ["Johnsonbaugh, Richard ; Schaefer, Marcus", "Ben-Ari, M."], B.natural_names) == ["Richard Johnsonbaugh; Marcus Schaefer", "M. Ben-Ari"]
+    kept = ["Pohl, Ira, Kelley, Al", "Zelkovitz, Marvin W. Ed.", "Surname, Jr.", "0", "Walter Savitch", None]
+    assert col(spark, kept, B.natural_names) == kept
+    titles = ["Data Structures (2nd Edition)", "Data Structures, Third Edition", "DATA structures (Paperback)", "The Revised Tower (Green Series)", None]
+    assert col(spark, titles, B.family_title) == ["data structures"] * 3 + ["the revised tower green series", ""]
+    assert col(spark, ["The Tower (Green Series) Two"], B.without_series) == ["The Tower Two"]
+    houses = ["Morgan Kaufmann Publishers, Inc.", "Morgan Kaufmann (edition 1)", "Pearson Education (US), New Jersey", "Elsevier Academic Press", "Butterworth-Heinemann", "Prentice Hall", "Routledge, Taylor & Francis Group", "-", "NA", "Nobody & Sons", None]
+    assert col(spark, houses, B.publisher_key) == ["morgankaufmann", "morgankaufmann", "pearson", "academicpress", "butterworthheinemann", "prenticehall", "routledge", "", "", "nobodysons", ""]
+
+
+def test_visible_names(spark):
+    df = spark.createDataFrame([("NFS Illustrated", "NFS Illustrated (Technical Series)"), ("TCP/IP Illustrated", "NFS Illustrated"), ("", "NFS Illustrated"), (None, "x")], "a string, b string")
+    assert [bool(r[0]) for r in df.select(B.same_title(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+    df = spark.createDataFrame([("Doe's Guide to Pearson Tools", "Jane Doe", "Pearson Education"), ("A Guide", "Jane Doe", "Pearson"), ("Guide", None, None)], "t string, a string, p string")
+    got = df.select(B.visible_author(F.col("t"), B.author_names(F.col("a"))), B.visible_publisher(F.col("t"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]
+    df = spark.createDataFrame([(" 1999 ", "publication_year"), ("99", "publication_year"), ("Elsevier BV", "publisher")], "v string, c string")
+    assert [r[0] for r in df.select(B.context_key(F.col("v"), F.col("c"))).collect()] == ["1999", "", "elsevier"]
 
 
 def test_vectors(spark):
@@ -65,5 +88,15 @@ def test_vectors(spark):
 
 def test_chunks(spark):
     text = "One two three. " * 100
-    got = col(spark, [text, "", "x" * 2000], T.chunks(200, 40))
-    assert all(len(c) <= 240 for c in got[0]) and " ".join(got[0]) == text.strip() and got[1] == [] and "".join(got[2]) == "x" * 2000
+    got = col(spark, [text, "", "x" * 2000, "First short.\n\nSecond. It is short.\n\n\nThird &amp; last.", None], T.chunks(200))
+    assert all(len(c) <= 200 for c in got[0]) and " ".join(got[0]) == text.strip() and got[1] == [] and "".join(got[2]) == "x" * 2000
+    assert got[3] == ["First short. Second. It is short. Third & last."] and got[4] is None
+    assert all(len(c) <= 800 for c in col(spark, ["A sentence of some words is here. " * 200 + "word " * 900], T.chunks(800))[0])
+    content = "Alpha was founded in 1990 and became known for bridge evidence. It later expanded into several regions with detailed public records.\n\nThe second paragraph contains target facts and additional context. It should be stored as a separate text asset chunk for retrieval."
+    parts = col(spark, [content], T.chunks(120))[0]
+    assert len(parts) == 4 and all(len(c) <= 120 for c in parts)
+
+
+def test_headers_with_entities(spark):
+    df = spark.createDataFrame([(["Caf&eacute;  no", None, "plain"],), (["a  b"],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(T.clean_each("t")).collect()] == [["Café no", None, "plain"], ["a b"], None]
