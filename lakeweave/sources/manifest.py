@@ -1,121 +1,140 @@
-"""Datasets of checked files: atomic output, manifests, resumable stages."""
+"""Versioned datasets in a shared folder: every write is a new version, a ledger says which counts.
+
+A dataset is a folder of any file system that Spark can reach. A write puts its rows into a version of
+its own, then the executors count and fingerprint what they read back, and the last step renames one
+ledger entry into place. A reader follows the newest entry, so it sees a whole version or none, and a
+lost driver or executor leaves at most a version that no entry names. Nothing is read on the driver but
+one ledger line and one row of totals.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT = "stage-manifest-1"
-
-
-def digest(*parts) -> str:
-    """SHA-256 of canonical JSON."""
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
-def write_json_atomically(path: str, value) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, sort_keys=True, indent=1)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(path + ".tmp", path)
-
-
-def write_shards(df: DataFrame, folder: str, artifact: str, rows_per_file: int = 1_000_000, compression: str = "none") -> list[dict]:
-    """Writes JSON lines and returns path, bytes, SHA-256 and rows of every part.
-
-    Tasks commit atomically; hashing runs on the executors over the written files, one row per file
-    comes back."""
-    spark = df.sparkSession
-    target = os.path.join(folder, artifact)
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", compression).json(target)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target)
-    sums = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    rows = spark.read.text(target).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("records"))
-    name = F.element_at(F.split("path", "/"), -1)
-    joined = sums.withColumn("n", name).join(rows.select(name.alias("n"), "records"), "n", "left")
-    return [{"path": f"{artifact}/{r['n']}", "bytes": r["bytes"], "sha256": r["sha256"], "records": r["records"] or 0} for r in joined.orderBy("n").collect()]
-
-
-def stage(name: str, parameters: dict, seed: int, inputs: str) -> dict:
-    return {"format": FORMAT, "stage": name, "parameters": parameters, "seed": seed, "inputs": inputs, "fingerprint": digest(parameters, seed), "outputs": {}, "counts": {}, "complete": False}
-
-
-def valid(folder: str, shard: dict) -> bool:
-    path = os.path.join(folder, str(shard.get("path", "")))
-    if not os.path.isfile(path) or path.endswith(".tmp") or os.path.getsize(path) != shard.get("bytes"):
-        return False
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest() == shard.get("sha256")
-
-
-def resume(folder: str, name: str, parameters: dict, seed: int, inputs: str) -> dict:
-    """The manifest of a stage to go on with: another configuration raises, damaged shards are
-    forgotten and reopen the stage."""
-    fresh, path = stage(name, parameters, seed, inputs), os.path.join(folder, "manifest.json")
-    if not os.path.exists(path):
-        return fresh
-    with open(path, encoding="utf-8") as f:
-        old = json.load(f)
-    if any(old.get(k) != fresh[k] for k in ("format", "stage", "seed", "inputs", "fingerprint")):
-        raise ValueError(f"the configuration of stage {name} changed; use another folder")
-    kept = {a: [s for s in shards if valid(folder, s)] for a, shards in old.get("outputs", {}).items()}
-    old["complete"] = bool(old.get("complete")) and kept == old.get("outputs")
-    old["outputs"] = kept
-    return old
-
-
-def publish(folder: str, manifest: dict, artifact: str, shards: list[dict], complete: bool = True) -> dict:
-    """Adds or replaces shards by path, recounts and writes the manifest atomically."""
-    known = {s["path"]: s for s in manifest["outputs"].get(artifact, [])} | {s["path"]: s for s in shards}
-    manifest["outputs"][artifact] = [known[p] for p in sorted(known)]
-    manifest["counts"][artifact] = sum(int(s["records"]) for s in known.values())
-    manifest["complete"] = complete
-    write_json_atomically(os.path.join(folder, "manifest.json"), manifest)
-    return manifest
-
-
-def read_artifact(spark: SparkSession, folder: str, artifact: str, schema: str) -> DataFrame:
-    """An artifact by the files its manifest lists; incomplete manifests and damaged files raise."""
-    with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
-        manifest = json.load(f)
-    if not manifest.get("complete"):
-        raise ValueError(f"{folder} is incomplete")
-    shards = manifest["outputs"].get(artifact)
-    if shards is None:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(os.path.basename(s["path"]), s["bytes"], s["sha256"]) for s in shards], "n string, bytes long, sha256 string")
-    paths = [os.path.join(folder, s["path"]) for s in shards]
-    missing = [p for p in paths if not os.path.isfile(p)]
-    if missing:
-        raise FileNotFoundError(missing[0])
-    found = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("n"), F.sha2("content", 256).alias("is"), "length")
-    if not listed.join(found, "n", "left").filter("`is` is null or `is` <> sha256 or length <> bytes").isEmpty():
-        raise ValueError(f"{folder} has a damaged file in {artifact}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
-
-
-def tree_fingerprint(paths: list[str], root: str) -> str:
-    h = hashlib.sha256()
-    for p in paths:
-        s = os.stat(p)
-        h.update(json.dumps([os.path.relpath(p, root), s.st_size, s.st_mtime_ns], separators=(",", ":")).encode())
-    return h.hexdigest()
-
-
-def run_stages(stages: list[tuple[str, object]], folder: str, parameters: dict, seed: int = 0, inputs: str = "") -> list[str]:
-    """Runs (name, make DataFrame) in order from the first stage that is not complete; returns those run."""
+LEDGER = "ledger"
+
+
+def settings_key(**settings) -> str:
+    """A short key of the settings that made a dataset."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()[:24]
+
+
+class Folder:
+    """A folder on Spark's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *parts: str) -> str:
+        return "/".join((self.path, *parts))
+
+    def names(self, part: str) -> list[str]:
+        place = self._path(self.at(part))
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(place)) if self._fs.exists(place) else []
+
+    def put(self, text: str, *parts: str) -> None:
+        """Write a small file under another name, then rename it: it appears whole, and only once."""
+        draft, final = self._path(self.at(*parts[:-1], f".{uuid.uuid4().hex}")), self._path(self.at(*parts))
+        out = self._fs.create(draft, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise FileExistsError(f"{final} was written by another run")
+
+    def get(self, *parts: str) -> str:
+        stream = self._fs.open(self._path(self.at(*parts)))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def drop(self, *parts: str) -> None:
+        self._fs.delete(self._path(self.at(*parts)), True)
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, sum): of every file of JSON lines its rows and the sum of their hashes, which does not
+    depend on the order in which tasks read them. Files are streamed, never held whole."""
+    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.xxhash64("value").cast("decimal(38,0)").alias("h"))
+    return lines.groupBy("file").agg(F.count("*").alias("rows"), F.sum("h").alias("sum"))
+
+
+def newest(spark: SparkSession, folder: str) -> dict | None:
+    """The newest ledger entry of a dataset, None where nothing was committed."""
+    place = Folder(spark, folder)
+    entries = [n for n in place.names(LEDGER) if not n.startswith(".")]
+    return json.loads(place.get(LEDGER, entries[-1])) if entries else None
+
+
+def commit(df: DataFrame, folder: str, settings: str = "", rows_per_file: int = 1_000_000, compression: str = "gzip") -> dict:
+    """Write the rows as JSON lines into a new version and enter it into the ledger; returns the entry."""
+    spark, place = df.sparkSession, Folder(df.sparkSession, folder)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_per_file).option("compression", compression).json(place.at(version, "rows"))
+    fingerprints(spark, place.at(version, "rows")).coalesce(1).write.parquet(place.at(version, "files"))
+    total = spark.read.parquet(place.at(version, "files")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).first()
+    entry = {"version": version, "settings": settings, "files": total["files"], "rows": total["rows"] or 0}
+    number = 1 + max((int(n) for n in place.names(LEDGER) if n.isdigit()), default=0)
+    place.put(json.dumps(entry), LEDGER, f"{number:012d}")
+    return entry
+
+
+def damaged(spark: SparkSession, folder: str, entry: dict | None = None) -> DataFrame:
+    """(file, rows, found): files of the version whose rows are missing, more or other than committed."""
+    entry = entry or newest(spark, folder)
+    place = Folder(spark, folder)
+    known = spark.read.parquet(place.at(entry["version"], "files"))
+    now = fingerprints(spark, place.at(entry["version"], "rows")).select("file", F.col("rows").alias("found"), F.col("sum").alias("is"))
+    other = F.col("found").isNull() | F.col("rows").isNull() | (F.col("found") != F.col("rows")) | (F.col("is") != F.col("sum"))
+    return known.join(now, "file", "full_outer").filter(other).select("file", "rows", "found")
+
+
+def read(spark: SparkSession, folder: str, schema: str, check: bool = True) -> DataFrame:
+    """The rows of the newest version. Nothing committed, and with ``check`` damaged files, raise."""
+    entry = newest(spark, folder)
+    if entry is None:
+        raise FileNotFoundError(f"{folder} holds no committed version")
+    if check and not damaged(spark, folder, entry).isEmpty():
+        raise ValueError(f"{folder} has damaged files")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(Folder(spark, folder).at(entry["version"], "rows"))
+
+
+def run_stages(spark: SparkSession, stages: list[tuple[str, object]], folder: str, settings: str = "") -> list[str]:
+    """Runs (name, function giving a DataFrame) in order and returns the names that ran. A stage whose
+    newest version has these settings and is whole is left as it is; other settings raise."""
     ran = []
     for name, make in stages:
-        own = os.path.join(folder, name)
-        manifest = resume(own, name, parameters, seed, inputs)
-        if manifest["complete"]:
-            continue
-        publish(own, manifest, "rows", write_shards(make(), own, "rows"))
-        ran.append(name)
+        own = f"{folder.rstrip('/')}/{name}"
+        entry = newest(spark, own)
+        if entry is not None and entry["settings"] != settings:
+            raise ValueError(f"stage {name} was made with other settings; use another folder")
+        if entry is None or not damaged(spark, own, entry).isEmpty():
+            commit(make(), own, settings)
+            ran.append(name)
     return ran
+
+
+def input_fingerprint(spark: SparkSession, folder: str) -> str:
+    """A key of the files below a folder: their paths, sizes and times, without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    total = files.agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    return settings_key(files=total["n"], sum=str(total["s"]))
+
+
+def drop_old_versions(spark: SparkSession, folder: str) -> int:
+    """Deletes versions that the newest entry does not name, those of broken runs too; returns how many."""
+    place, entry = Folder(spark, folder), newest(spark, folder)
+    old = [n for n in place.names("") if n.startswith("v-") and entry and n != entry["version"]]
+    for n in old:
+        place.drop(n)
+    return len(old)

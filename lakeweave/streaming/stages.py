@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.operators import cells as C
+from lakeweave.sources.manifest import LEDGER, Folder
 
 
 def arriving_tables(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -24,7 +24,7 @@ def normalize_new(spark: SparkSession, folder: str, schema, out: str, state: str
 
     def batch(df: DataFrame, number: int) -> None:
         cells = C.cells(C.lake(df))
-        target = os.path.join(out, f"batch={number}")
+        target = f"{out.rstrip('/')}/batch={number}"
         cells.write.mode("overwrite").parquet(target)
         written.append(spark.read.parquet(target).count())
 
@@ -35,21 +35,18 @@ def normalize_new(spark: SparkSession, folder: str, schema, out: str, state: str
 
 def upsert(spark: SparkSession, store: str, rows: DataFrame, key: str, at: str) -> DataFrame:
     """Keeps the latest row per key: the store's rows and the new ones are merged into a new version,
-    and the pointer to it is replaced last, so a reader sees the old or the new store, never a mixture."""
-    pointer = os.path.join(store, "CURRENT")
-    old = None
-    if os.path.exists(pointer):
-        with open(pointer, encoding="utf-8") as f:
-            old = spark.read.parquet(os.path.join(store, f.read().strip()))
+    and a ledger entry is renamed into place last, so a reader sees the old or the new store, never a
+    mixture, on any file system that renames."""
+    place = Folder(spark, store)
+    entries = [n for n in place.names(LEDGER) if n.isdigit()]
+    old = spark.read.parquet(place.at(place.get(LEDGER, entries[-1]))) if entries else None
     every = rows if old is None else old.unionByName(rows)
     order = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
     merged = every.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
     version = f"v-{uuid.uuid4().hex}"
-    merged.write.parquet(os.path.join(store, version))
-    with open(pointer + ".tmp", "w", encoding="utf-8") as f:
-        f.write(version)
-    os.replace(pointer + ".tmp", pointer)
-    return spark.read.parquet(os.path.join(store, version))
+    merged.write.parquet(place.at(version))
+    place.put(version, LEDGER, f"{1 + (int(entries[-1]) if entries else 0):012d}")
+    return spark.read.parquet(place.at(version))
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:

@@ -55,24 +55,35 @@ def test_json_lines(spark, tmp_path):
         S.json_lines(spark, str(tmp_path / "a.jsonl"), "a int", strict=True).collect()
 
 
-def test_manifest(spark, tmp_path):
+def test_versions(spark, tmp_path):
     root, made = str(tmp_path / "run"), []
 
-    def make(name):
+    def make(name, n=10):
         made.append(name)
-        return spark.range(10).select(F.col("id"), F.lit(name).alias("s"))
-
-    stages = [("one", lambda: make("one")), ("two", lambda: make("two"))]
-    assert M.run_stages(stages, root, {"p": 1}) == ["one", "two"] and M.run_stages(stages, root, {"p": 1}) == []
-    assert M.read_artifact(spark, f"{root}/one", "rows", "id long, s string").count() == 10
-    with pytest.raises(ValueError, match="configuration"):
-        M.run_stages(stages, root, {"p": 2})
-    part = next((tmp_path / "run" / "two" / "rows").glob("part-*"))
-    part.write_text("damaged\n")
+        return spark.range(n).select(F.col("id"), F.lit(name).alias("s"))
+
+    stages = [("one", lambda: make("one")), ("two", lambda: make("two")), ("none", lambda: make("none", 0))]
+    key = M.settings_key(p=1)
+    assert M.run_stages(spark, stages, root, key) == ["one", "two", "none"] and M.run_stages(spark, stages, root, key) == [] and made == ["one", "two", "none"]
+    assert M.read(spark, f"{root}/one", "id long, s string").count() == 10 and M.read(spark, f"{root}/none", "id long, s string").count() == 0
+    with pytest.raises(ValueError, match="settings"):
+        M.run_stages(spark, stages, root, M.settings_key(p=2))
+    with pytest.raises(FileNotFoundError):
+        M.read(spark, f"{root}/nothing", "id long")
+    old = M.newest(spark, f"{root}/two")
+    part = next((tmp_path / "run" / "two" / old["version"] / "rows").glob("part-*.gz"))
+    part.write_bytes(gzip.compress(b"damaged\n"))
     (part.parent / f".{part.name}.crc").unlink()
     with pytest.raises(ValueError, match="damaged"):
-        M.read_artifact(spark, f"{root}/two", "rows", "id long, s string")
-    assert M.run_stages(stages, root, {"p": 1}) == ["two"]
+        M.read(spark, f"{root}/two", "id long, s string")
+    assert M.run_stages(spark, stages, root, key) == ["two"] and M.read(spark, f"{root}/two", "id long, s string").count() == 10
+    assert M.drop_old_versions(spark, f"{root}/two") == 1 and M.damaged(spark, f"{root}/two").isEmpty()
+    with pytest.raises(FileExistsError):
+        M.Folder(spark, f"{root}/two").put("x", M.LEDGER, f"{1:012d}")
+    before = M.input_fingerprint(spark, f"{root}/one")
+    assert before == M.input_fingerprint(spark, f"{root}/one")
+    (tmp_path / "run" / "one" / "more.txt").write_text("x")
+    assert before != M.input_fingerprint(spark, f"{root}/one")
 
 
 def test_streaming(spark, tmp_path):
