@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.text import normalize, stable_json_hash, values_match
-from lakeweave.operators.sampling import sha_order
+from lakeweave.operators.ranking import following
+from lakeweave.operators.sampling import digest_positions
+from lakeweave.runtime import settle
 
 
 def required_rows(valid: Column, view_rows: int, ratio: str, least: int) -> Column:
@@ -127,17 +129,28 @@ def candidate_lists(parts: dict[str, DataFrame]) -> DataFrame:
     return every.groupBy("query_id", "target_id").agg(F.array_join(F.array_sort(F.collect_set("origin")), "+").alias("origin"))
 
 
-def uniform_targets(queries: DataFrame, targets: DataFrame, excluded: DataFrame, k: int, pool: int = 256, seed: int = 0) -> DataFrame:
-    """k targets per query in digest order, none of the excluded ones.
-
-    Each query looks at ``pool`` targets that its own digest points to in the ordered library, not at
-    all of them; the pool is far larger than k plus the exclusions of a query."""
-    n = targets.count()
-    width = min(pool, max(n, 1))
-    lib = targets.select("target_id").withColumn("slot", F.row_number().over(Window.orderBy(sha_order(F.col("target_id"), "library", seed), "target_id")) - 1)
-    start = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(max(n, 1)))
-    asked = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"), start.alias("start")).withColumn("slot", ((F.col("start") + F.col("i")) % max(n, 1)).cast("int"))
-    legal = asked.join(lib, "slot").join(excluded.select("query_id", "target_id"), ["query_id", "target_id"], "left_anti")
+def _prime_from(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def uniform_targets(queries: DataFrame, targets: DataFrame, excluded: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k targets per query in a digest order of its own, none of the excluded ones; all that are left
+    where there are fewer.
+
+    The targets stand at the places of their digest order. A query walks through the places modulo the
+    next prime with a start and a step of its own, which meets every place once; as many steps as it
+    wants and excludes targets, and as there are empty places, are enough."""
+    lib = settle(digest_positions(targets, "target_id", "library", seed).select("target_id", (F.col("position") - 1).alias("slot")))
+    n = lib.count()
+    p = _prime_from(max(n, 2))
+    out = excluded.select("query_id", "target_id").distinct().groupBy("query_id").agg(F.count("*").alias("out"))
+    width = F.least(F.lit(p), F.lit(k + p - n) + F.coalesce("out", F.lit(0)))
+    asked = queries.select("query_id").distinct().join(out, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), (width - 1).cast("long"))).alias("i"))
+    start, step = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(p)), 1 + F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(p - 1))
+    walked = asked.withColumn("slot", F.pmod(start + F.col("i") * step, F.lit(p)))
+    legal = walked.join(lib, "slot").join(excluded.select("query_id", "target_id"), ["query_id", "target_id"], "left_anti")
     return legal.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("i"))).filter(F.col("r") <= k).select("query_id", "target_id")
 
 
@@ -170,6 +183,4 @@ def nearest_shape(queries: DataFrame, targets: DataFrame, excluded: DataFrame) -
 
 def swap_ring(ids: DataFrame, key: str) -> DataFrame:
     """Every id with the next one in byte order, the last with the first."""
-    least = ids.agg(F.min(key).alias("first"))
-    spans = ids.select(key).distinct().withColumn("next", F.lead(key).over(Window.orderBy(key)))
-    return spans.crossJoin(F.broadcast(least)).select(key, F.coalesce("next", "first").alias("partner"))
+    return following(ids, key, "partner")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.operators.ranking import running_sum
+
 CUTOFFS = (5, 10, 20)
 
 
@@ -57,31 +59,38 @@ def by_segment(per_query: DataFrame, segment: str, metrics: list[str]) -> DataFr
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """Rank AUC with average ranks for ties. Scores are counted first, so ties cost one row."""
+    """Rank AUC with average ranks for ties. Scores are counted first, so ties cost one row, and ranked
+    by ranges, so no task sorts them all."""
     n = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.withColumn("avg_rank", below + (F.col("n") + 1) / 2)
+    ranked = running_sum(n, [score], F.col("n"), "upto").withColumn("avg_rank", F.col("upto") - (F.col("n") - 1) / 2)
     s = ranked.agg(F.sum(F.col("p") * F.col("avg_rank")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
 
 
 def group_bootstrap(deltas: DataFrame, group: str, delta: str, replicates: int = 10_000, seed: int = 7) -> DataFrame:
-    """Mean difference with a 95 % interval; whole groups are drawn. Groups are reduced to their sum
-    and size first, which is all the draws need."""
-    sums = deltas.groupBy(group).agg(F.sum(delta).alias("s"), F.count(delta).alias("n")).orderBy(group)
+    """Mean difference with a 95 % interval; whole groups are drawn.
+
+    Groups are reduced to their sum and size first. Every group draws its own number of copies for each
+    replicate, Poisson with mean one, from its own seed; a task adds these up for its groups and leaves
+    one row of sums, so the groups are never brought together and the result does not depend on how
+    they are spread."""
+    sums = deltas.groupBy(F.col(group).cast("string").alias("g")).agg(F.sum(delta).cast("double").alias("s"), F.count(delta).alias("n"))
     wins = deltas.agg(F.count_if(F.col(delta) > 1e-12).alias("w"), F.count_if(F.col(delta) < -1e-12).alias("l"), F.count_if(F.abs(delta) <= 1e-12).alias("t"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = pd.concat(list(batches)).sort_values(group)[["s", "n"]].to_numpy(dtype="f8")
-        if not len(x):
-            return
-        rng, means = np.random.default_rng(seed), []
-        for start in range(0, replicates, 250):
-            d = x[rng.integers(0, len(x), size=(min(250, replicates - start), len(x)))].sum(axis=1)
-            means.extend(d[:, 0] / d[:, 1])
-        yield pd.DataFrame({"delta": [x[:, 0].sum() / x[:, 1].sum()], "low": [np.quantile(means, 0.025)], "high": [np.quantile(means, 0.975)]})
-
-    return sums.coalesce(1).mapInPandas(draw, "delta double, low double, high double").crossJoin(wins)
+        total, size = np.zeros(replicates), np.zeros(replicates)
+        for pdf in batches:
+            for h, s, n in zip(pdf["h"].tolist(), pdf["s"].tolist(), pdf["n"].tolist(), strict=True):
+                copies = np.random.default_rng([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF]).poisson(1.0, replicates)
+                total += copies * s
+                size += copies * n
+        yield pd.DataFrame({"total": [total], "size": [size]})
+
+    parts = sums.select(F.xxhash64("g").alias("h"), "s", "n").mapInPandas(draw, "total array<double>, size array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("total", "size")).alias("i", "x")).groupBy("i").agg(F.try_divide(F.sum("x.total"), F.sum("x.size")).alias("mean"))
+    bounds = each.filter("mean is not null").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    mean = sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("delta")).filter("delta is not null")
+    return mean.crossJoin(bounds).select("delta", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")).crossJoin(wins)
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.text import is_number, normalize
+from lakeweave.operators.ranking import running_sum
 
 
 def column_pairs(cell: DataFrame) -> DataFrame:
@@ -39,7 +40,9 @@ def dominant_by_key(cell: DataFrame, key: int = 0, value: int = 1) -> DataFrame:
 
 def redundant_columns(cell: DataFrame) -> DataFrame:
     """Columns of a table with the same values row by row, in groups of two or more."""
-    own = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "text"))), lambda x: F.concat(F.length(x["text"]).cast("string"), F.lit(":"), x["text"])), "|"), 256)
+    one, two = (F.xxhash64(F.lit(salt), "row_id", "text").cast("decimal(38,0)") for salt in ("a", "b"))
+    # Sums of hashes do not depend on the rows' order, so a column is never gathered.
+    own = F.concat_ws(":", F.count("*").cast("string"), F.sum(one).cast("string"), F.sum(two).cast("string"))
     digest = cell.groupBy("source_table_id", "column_index").agg(own.alias("digest"))
     return digest.groupBy("source_table_id", "digest").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("column_index")), ",").alias("members")).filter("n >= 2").select("source_table_id", "members", "n")
 
@@ -107,13 +110,18 @@ def overlap_share(cell: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, count: str, by: list[str] | None = None) -> DataFrame:
-    """Gini coefficient of counts."""
+    """Gini coefficient of counts. Equal counts are one row; a frame without keys is ranked by ranges."""
     keys = by or []
-    w = Window.partitionBy(*keys).orderBy(count)
-    ranked = df.withColumn("i", F.row_number().over(w))
-    n, s = F.count("*"), F.sum(count)
-    value = F.when(s > 0, (2 * F.sum(F.col("i") * F.col(count)) / (n * s)) - (n + 1) / n).otherwise(0.0)
-    return ranked.groupBy(*keys).agg(F.bround(value, 6).alias("gini"), n.alias("n"))
+    level = df.groupBy(*keys, count).agg(F.count("*").alias("m"))
+    if keys:
+        level = level.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys).orderBy(count).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        level = running_sum(level, [count], F.col("m"), "upto")
+    # The places of m equal counts sum to m x (last place) - m (m - 1) / 2.
+    places = F.col("m") * F.col("upto") - F.col("m") * (F.col("m") - 1) / 2
+    n, s = F.sum("m"), F.sum(F.col("m") * F.col(count))
+    value = F.when(s > 0, (2 * F.sum(places * F.col(count)) / (n * s)) - (n + 1) / n).otherwise(0.0)
+    return level.groupBy(*keys).agg(F.bround(value, 6).alias("gini"), n.alias("n"))
 
 
 def tally(df: DataFrame, column: str) -> DataFrame:

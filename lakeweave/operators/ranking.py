@@ -89,3 +89,31 @@ def peak_span(scores: list[float], budget: int) -> tuple[int, int]:
         else:
             b += 1
     return (a, b + 1)
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows cut into ranges of ``order``, numbered in ``__range``; equal rows share a range."""
+    from lakeweave.runtime import settle
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each row of the whole frame, equal rows counted in
+    their order. Ranges are summed apart; only one sum per range is ordered in one place."""
+    ranged = in_ranges(df.withColumn("__value", value), order)
+    sums = ranged.groupBy("__range").agg(F.sum("__value").alias("__part"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__range", F.coalesce(F.sum("__part").over(before), F.lit(0)).alias("__before"))
+    own = F.sum("__value").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__own", own).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__value", "__range", "__before", "__own")
+
+
+def following(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys of the whole frame with the next key, the last with the first."""
+    ranged = in_ranges(df.select(key).distinct(), [key])
+    firsts = ranged.groupBy("__range").agg(F.min(key).alias("__first"))
+    ends = firsts.withColumn("__after", F.lead("__first").over(Window.orderBy("__range"))).withColumn("__least", F.min("__first").over(Window.partitionBy()))
+    inner = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
+    return ranged.withColumn("__next", inner).join(F.broadcast(ends), "__range").select(key, F.coalesce("__next", "__after", "__least").alias(name))

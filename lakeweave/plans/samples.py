@@ -100,7 +100,12 @@ def disjoint_row_views(s, root):
     return S.row_views(rows.withColumn("recovered", F.col("row_id") % 3 != 1), "source_table_id", "row_id", "recovered", 5, 3)
 
 
-@query()
+@query(f"""WITH d AS (SELECT DISTINCT source, asset_id FROM bridge_assets WHERE source IS NOT NULL), z AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM d GROUP BY 1),
+ a AS (SELECT *, least(60, sum(n) OVER ()) AS slots FROM z), b AS (SELECT *, (slots - coalesce(sum(n) OVER (ORDER BY n, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY n DESC, source DESC) >= w AS fits FROM a),
+ c AS (SELECT *, bool_and(fits) OVER (ORDER BY n, source) AS full_ FROM b), e AS (SELECT *, CASE WHEN full_ THEN n ELSE (slots - coalesce(sum(CASE WHEN full_ THEN n END) OVER (), 0)) * w / sum(CASE WHEN NOT full_ THEN w END) OVER () END AS share FROM c),
+ f AS (SELECT *, floor(share) AS whole, row_number() OVER (PARTITION BY full_ ORDER BY share - floor(share) DESC, n, source) AS i, slots - sum(floor(share)) OVER () AS rest FROM e),
+ q AS (SELECT source, whole + (NOT full_ AND i <= rest)::INT AS quota FROM f)
+ SELECT source, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {sha('asset_id', 'take')}, asset_id) AS r FROM d) JOIN q USING (source) WHERE r <= quota""")
 def stratified_take(s, root):
     d = table(s, root, "bridge_assets").filter("source is not null").select("source", "asset_id").distinct()
     return S.stratified_take(d, "source", "asset_id", 60, root=True)

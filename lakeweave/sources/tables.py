@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import html
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -97,8 +98,9 @@ def entity_column(tables: DataFrame) -> DataFrame:
     return tables.select("source_table_id", at.cast("int").alias("entity_column"))
 
 
-def csv_tables(spark: SparkSession, folder: str, max_rows: int = 100_000) -> DataFrame:
-    """CSV files as tables: UTF-8 with or without a mark, else Latin-1; blank headers are named later."""
+def csv_tables(spark: SparkSession, folder: str, max_rows: int = 0) -> DataFrame:
+    """CSV files as tables: UTF-8 with or without a mark, else Latin-1; blank headers are named later.
+    All rows are read, unless ``max_rows`` is above 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path", "content")
     schema = "source_table_id string, source_file string, pgtitle string, title array<string>, num_cols int, num_rows int, data array<array<string>>"
 
@@ -110,7 +112,7 @@ def csv_tables(spark: SparkSession, folder: str, max_rows: int = 100_000) -> Dat
                     text = content.decode("utf-8-sig")
                 except UnicodeDecodeError:
                     text = content.decode("latin-1")
-                lines = [r for _, r in zip(range(max_rows + 1), csv.reader(io.StringIO(text)), strict=False)]
+                lines = list(itertools.islice(csv.reader(io.StringIO(text)), max_rows + 1 if max_rows > 0 else None))
                 head, data = (lines[0], lines[1:]) if lines else ([], [])
                 name = path.rsplit("/", 1)[-1]
                 out.append((name.removesuffix(".csv"), name, None, head, len(head), len(data), data))

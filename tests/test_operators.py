@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeweave.operators import cells as C
 from lakeweave.operators import dedupe as D
 from lakeweave.operators import evidence as E
+from lakeweave.operators import joinability as J
 from lakeweave.operators import matching as M
 from lakeweave.operators import metrics as Q
 from lakeweave.operators import profiles as P
@@ -124,8 +125,10 @@ def test_sampling(spark):
 
     got = ids.limit(20).select("k", S.holdout(F.col("k"), 10, "s").alias("h")).collect()
     assert all(r.h == int(hashlib.sha256(f"s|{r.k}".encode()).hexdigest(), 16) % 10 for r in got)
-    assert S.largest_remainder({"a": 1, "b": 10, "c": 5}, 8) == {"a": 1, "b": 5, "c": 2} or sum(S.largest_remainder({"a": 1, "b": 10, "c": 5}, 8).values()) == 8
-    assert S.largest_remainder({"a": 0, "b": 2}, 9) == {"a": 0, "b": 2}
+    for sizes, slots, root in [({"a": 1, "b": 10, "c": 5}, 8, False), ({"a": 1, "b": 100, "c": 3, "d": 3}, 20, True), ({"a": 0, "b": 2}, 9, False), ({"a": 5, "b": 5, "c": 5}, 7, False), ({"a": 7}, 0, False), ({k: 1 + ord(k) % 5 for k in "abcdefghijk"}, 17, True)]:
+        got = {r.k: r.quota for r in S.quotas(spark.createDataFrame(list(sizes.items()), "k string, n long"), "k", slots, root).collect()}
+        assert got == shared_out({k: c for k, c in sizes.items() if c}, slots, root)
+    assert S.quotas(spark.createDataFrame([], "k string, n long"), "k", 5).count() == 0
     chosen = S.exact_two_way({"a": (1, 2), "b": (2, 0), "c": (3, 1)}, (5, 1))
     assert chosen == {"b", "c"} and S.exact_two_way({"a": (1, 1)}, (2, 2)) is None
 
@@ -195,3 +198,54 @@ def test_slices_keep_more_than_one_evidence(spark):
     paths = spark.createDataFrame([("q", "a", "t", 1.0), ("q", "b", "t", 1.0)], "query_id string, evidence_id string, target_id string, score double")
     kept = retrieval.retain_evidence(paths, retrieval.slice_rows(q, 2, 4), evidence).collect()
     assert {(r.evidence_id, r.step) for r in kept} == {("a", 1), ("b", 2)}
+
+
+def shared_out(sizes, slots, root):
+    """Largest remainder by filling the level up slot after slot of the saturated strata."""
+    weight = {k: math.sqrt(c) if root else c for k, c in sizes.items()}
+    slots, full = min(slots, sum(sizes.values())), set()
+    for k in sorted(sizes, key=lambda k: (sizes[k] / weight[k], k)):
+        rest = [j for j in sizes if j not in full]
+        if (slots - sum(sizes[j] for j in full)) / sum(weight[j] for j in rest) >= sizes[k] / weight[k]:
+            full.add(k)
+        else:
+            break
+    rest = [k for k in sizes if k not in full]
+    level = (slots - sum(sizes[k] for k in full)) / sum(weight[k] for k in rest) if rest else 0
+    out = {k: sizes[k] if k in full else math.floor(level * weight[k]) for k in sizes}
+    for k in sorted(rest, key=lambda k: (-(level * weight[k] - out[k]), sizes[k], k))[: slots - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i % 7, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = {r.v: r.s for r in R.running_sum(df, ["k", "v"], F.col("v"), "s").collect()}
+    total, want = 0, {}
+    for _, v in sorted(rows):
+        total += v
+        want[v] = total
+    assert got == want
+    ring = {r.v: r.nxt for r in R.following(df, "v", "nxt").collect()}
+    assert ring == {i: (i + 1) % 300 for i in range(300)}
+    assert R.following(df.limit(0), "v", "nxt").count() == 0 and {tuple(r) for r in R.following(df.filter("v = 5"), "v", "nxt").collect()} == {(5, 5)}
+
+
+def test_bootstrap_is_the_same_however_rows_are_spread(spark):
+    rows = [(f"g{i % 40}", float(i % 11) - 4.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, d double")
+    a, b = (Q.group_bootstrap(x, "g", "d", 500).first() for x in (df.coalesce(1), df.repartition(7)))
+    mean = sum(d for _, d in rows) / len(rows)
+    assert abs(a.delta - mean) < 1e-12 and a.low < mean < a.high and abs(a.low - b.low) < 1e-9 and a.w + a.l + a.t == 400
+    assert Q.group_bootstrap(df.limit(0), "g", "d", 50).count() == 0
+
+
+def test_uniform_targets_with_many_exclusions(spark):
+    targets = spark.createDataFrame([(f"t{i:03d}",) for i in range(120)], "target_id string")
+    queries = spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")
+    out = spark.createDataFrame([("a", f"t{i:03d}") for i in range(115)] + [("b", "t000")], "query_id string, target_id string")
+    got = {}
+    for r in J.uniform_targets(queries, targets, out, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.target_id)
+    assert got["a"] == {f"t{i:03d}" for i in range(115, 120)} and len(got["b"]) == len(got["c"]) == 10 and "t000" not in got["b"] and got["b"] != got["c"]
