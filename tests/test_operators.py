@@ -249,3 +249,30 @@ def test_uniform_targets_with_many_exclusions(spark):
     for r in J.uniform_targets(queries, targets, out, 10).collect():
         got.setdefault(r.query_id, set()).add(r.target_id)
     assert got["a"] == {f"t{i:03d}" for i in range(115, 120)} and len(got["b"]) == len(got["c"]) == 10 and "t000" not in got["b"] and got["b"] != got["c"]
+
+
+def test_vector_joins(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 16))[rng.integers(0, 12, 400)] + 0.4 * rng.normal(size=(400, 16))
+    x[7] = x[3] * 2
+    x[9] = 0
+    ids = [f"v{i:03d}" for i in rng.permutation(400)]
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in zip(ids, x, strict=True)], "id string, z array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = np.round(u @ u.T, 12)
+    want = {ids[i]: [ids[j] for j in sorted(range(400), key=lambda j: (-c[i, j], ids[j]))[:5]] for i in range(400)}
+    queries = df.filter("id < 'v150'")
+
+    def lists(found):
+        out = {}
+        for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+            out.setdefault(r.query_id, []).append(r.target_id)
+        return out
+
+    exact = {q: t for q, t in want.items() if q < "v150"}
+    assert lists(N.knn_join(queries, df, 5)) == exact and lists(N.knn_join(queries, df, 5, block_rows=60)) == exact
+    assert lists(N.list_join(queries, df, 5, probes=1000, list_rows=20, ask_rows=30)) == exact
+    some = lists(N.list_join(queries, df, 5, probes=4, list_rows=20))
+    assert sum(len(set(some[q]) & set(t)) for q, t in exact.items()) >= 0.9 * 5 * len(exact)
+    none = df.limit(0)
+    assert N.knn_join(none, df, 5).count() == N.knn_join(df, none, 5).count() == N.list_join(df, none, 5).count() == N.list_join(none, df, 5).count() == 0
