@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import folded, text_key, word_key
+from lakeweave.functions.text import bare_url, clean_text, folded, normalize, one_line, stable_json_hash, text_key, word_key
 
 # What stands for no author and no publisher, words that qualify a name, and publishers'
 # brands with the pattern that tells each; imprints stand before their houses.
@@ -166,3 +166,95 @@ def context_key(value: Column, column: Column) -> Column:
 
 def stated_year(c: Column) -> Column:
     return F.when(c.cast("string").rlike(r"^[12]\d{3}$"), c.cast("int"))
+
+
+# Words that stand for no text; words of a header that say nothing about its content.
+NO_TEXT = ("n/a", "na", "n.a.", "not available", "unknown", "none", "null", "-", "--")
+HEADER_FILLERS = ("a", "alias", "an", "description", "label", "name", "of", "the", "text", "value")
+
+
+def book_key(c: Column) -> Column:
+    """(key, scheme) of a book: its ISBN-13, else the digits of an invalid number, so that a wrong digit
+    shows instead of a missing row; null where there is none."""
+    valid, digits = isbn13(c), F.regexp_replace(F.upper(c), "[^0-9X]", "")
+    key = F.when(valid.isNotNull(), F.concat(F.lit("isbn13:"), valid)).when(digits != "", F.concat(F.lit("isbn10:"), digits))
+    return F.struct(key.alias("key"), F.when(valid.isNotNull(), "isbn13").when(digits != "", "isbn10_fallback").otherwise("unusable").alias("scheme"))
+
+
+def seller_key(url: Column, name: Column, location: Column, prefix: str = "shop:") -> Column:
+    """(key, scheme) of a seller: the number of the shop front in its address, else name and place,
+    else the address."""
+    bare = bare_url(url)
+    number = F.nullif(F.regexp_extract(F.coalesce(bare, F.lit("")), r"/(\d+)/sf$", 1), F.lit(""))
+    named = F.concat(F.lit("name_loc:"), stable_json_hash([normalize(name), normalize(F.coalesce(location, F.lit("")))]))
+    has_name = clean_text(name) != ""
+    key = F.when(number.isNotNull(), F.concat(F.lit(prefix), number)).when(has_name, named).when(bare.isNotNull(), F.concat(F.lit("url:"), stable_json_hash([bare])))
+    return F.struct(key.alias("key"), F.when(number.isNotNull(), "storefront_id").when(has_name, "name_location").when(bare.isNotNull(), "url_only").otherwise("missing").alias("scheme"))
+
+
+def picture_kind(url: Column, photo: str, stock: str) -> Column:
+    """What an image address shows by the given marks: a photo of the copy, a stock cover, else a
+    placeholder; null for no address."""
+    u = F.lower(clean_text(url))
+    return F.when(u == "", None).when(u.contains(photo), "seller_photo").when(u.contains(stock), "stock_cover").otherwise("placeholder")
+
+
+def free_text(c: Column, longest: int = 1024) -> Column:
+    """Cleaned text up to ``longest`` characters; null for the empty text and for placeholder words."""
+    t = F.rtrim(F.substring(clean_text(c), 1, longest))
+    return F.when((t != "") & ~normalize(t).isin(*["n a" if w == "n/a" else w for w in NO_TEXT]), t)
+
+
+def result_count(c: Column) -> Column:
+    return F.replace(F.regexp_extract(clean_text(c), r"(?i)(\d[\d,]*)\s+result", 1), F.lit(","), F.lit("")).try_cast("int")
+
+
+def header_key(c: Column) -> Column:
+    """Words of a header that name its content, in the singular and sorted; all its words if none is left."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(folded(clean_text(c)), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+
+    def single(w: Column) -> Column:
+        many = (F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss")
+        return F.when(w == "ranking", "rank").when((F.length(w) > 4) & w.endswith("ies"), F.concat(F.regexp_replace(w, "ies$", ""), F.lit("y"))).when(many, F.regexp_replace(w, "s$", "")).otherwise(w)
+
+    told = F.transform(F.filter(words, lambda w: ~w.isin(*HEADER_FILLERS)), single)
+    return F.array_join(F.array_sort(F.when(F.size(told) > 0, told).otherwise(words)), " ")
+
+
+def number_with_unit(c: Column) -> Column:
+    """(number, unit) of a text that is one number and a unit behind it; null for others."""
+    t = one_line(folded(c))
+    pattern = r"^([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*(%|[\p{L}°²³/]*)$"
+    number = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
+    return F.when(t.rlike(pattern) & number.isNotNull(), F.struct(number.alias("number"), F.regexp_extract(t, pattern, 2).alias("unit")))
+
+
+def without_suffix(c: Column, suffixes: tuple[str, ...]) -> Column:
+    """A folded name without the first of the suffixes it ends with that leaves two letters or more."""
+    t = _strip(folded(clean_text(c)))
+    out = t
+    for s in reversed(suffixes):
+        stem = _strip(F.substring(t, F.lit(1), F.length(t) - len(s)))
+        out = F.when(t.endswith(s) & (F.length(F.replace(stem, F.lit(" "), F.lit(""))) >= 2), stem).otherwise(out)
+    return out
+
+
+def same_but_suffix(a: Column, b: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether two different names are one but for a suffix of their kind."""
+    x, y = _strip(folded(clean_text(a))), _strip(folded(clean_text(b)))
+    return (x != "") & (y != "") & (x != y) & (without_suffix(a, suffixes) == without_suffix(b, suffixes))
+
+
+def without_notice(c: Column, marker: str, tail: str) -> Column:
+    """A text up to a notice's marker, without the token ``tail`` (a pattern) before it; null if nothing
+    is left. Texts without the marker stay as they are."""
+    cut = _strip(F.regexp_replace(F.substring_index(c, marker, 1), tail + r"\s*$", ""))
+    return F.when(c.contains(marker), F.nullif(cut, F.lit(""))).otherwise(c)
+
+
+def escape_markers(c: Column, markers: tuple[str, ...]) -> Column:
+    """Cleaned text in which control tokens of a reader are plain text."""
+    out = clean_text(c)
+    for m in markers:
+        out = F.replace(out, F.lit(m), F.lit(m.replace("<", "&lt;", 1)))
+    return out

@@ -117,13 +117,13 @@ def text_key(c: Column | str) -> Column:
     return F.coalesce(word_key(folded(c)), F.lit(""))
 
 
-_gate = batched(lambda x: " ".join(re.findall(r"\w+", "".join(ch for ch in unicodedata.normalize("NFKD", __import__("urllib.parse").parse.unquote(x)) if not unicodedata.combining(ch)).casefold())))
+_gate = batched(lambda x: " ".join(re.findall(r"[^\W_]+", "".join(ch for ch in unicodedata.normalize("NFKD", __import__("urllib.parse").parse.unquote(x)) if not unicodedata.combining(ch)).casefold())))
 
 
 def gate_norm(c: Column | str) -> Column:
     """Percent-decoded, without accents, words only."""
     c = _col(c)
-    fast = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))
+    fast = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     return F.coalesce(split_path(c, fast, beyond_ascii(c) | c.contains("%"), _gate), F.lit(""))
 
 

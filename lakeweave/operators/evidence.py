@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import clean_text, text_key
+from lakeweave.functions.text import clean_text, gate_norm, text_key
 
 
 def usable(assets: DataFrame) -> DataFrame:
@@ -55,3 +55,31 @@ def masked(text: Column) -> Column:
     """URLs and ISBNs blotted out."""
     t = F.regexp_replace(clean_text(text), r"https?://\S+", "[link]")
     return F.regexp_replace(t, r"\b97[89][- ]?\d{1,5}(?:[- ]?\d+){2,3}[- ]?\d\b|\b97[89]\d{10}\b", "[ISBN]")
+
+
+def entity_anchors(cells: DataFrame) -> DataFrame:
+    """(query_id, row, anchors): per row of (query_id, row, column_name, text) the title in its entity
+    address and the visible texts that are a beginning of it, four letters or more."""
+    named = F.lower(F.trim("column_name")) == "entity_url"
+    keyed = cells.withColumn("url", named).withColumn("k", gate_norm(F.when(named, F.regexp_extract("text", r"^https?://[^/?#]+(?:/[^?#]*)?/([^/?#]+)/*(?:[?#].*)?$", 1)).otherwise(F.col("text"))))
+    known = keyed.filter((F.length("k") >= 4) & F.col("k").rlike(r"\p{L}"))
+    titles = known.filter("url").groupBy("query_id", "row").agg(F.collect_set("k").alias("titles"))
+    seen = known.filter("not url").groupBy("query_id", "row").agg(F.collect_set("k").alias("seen"))
+    starts = F.filter("seen", lambda v: F.exists("titles", lambda t: (t == v) | t.startswith(F.concat(v, F.lit(" ")))))
+    return titles.join(seen, ["query_id", "row"], "left").select("query_id", "row", F.array_sort(F.array_union("titles", F.coalesce(starts, F.array().cast("array<string>")))).alias("anchors"))
+
+
+def evidence_gate(tasks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(task_id, verdict) of reading tasks (task_id, query_id, row, kinds, texts): whether the texts name
+    the row's entity, only other rows' entities, or cannot be told; images always pass."""
+    own = anchors.select("query_id", "row", "anchors")
+    every = anchors.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("every"))
+    texts = tasks.select("task_id", F.explode("texts").alias("t")).select("task_id", gate_norm("t").alias("t")).groupBy("task_id").agg(F.collect_list(F.concat(F.lit(" "), "t", F.lit(" "))).alias("chunks"))
+    j = tasks.join(own, ["query_id", "row"], "left").join(every, "query_id", "left").join(texts, "task_id", "left")
+    none = F.array().cast("array<string>")
+    j = j.withColumn("anchors", F.coalesce("anchors", none)).withColumn("other", F.array_except(F.coalesce("every", none), F.col("anchors"))).withColumn("chunks", F.coalesce("chunks", none))
+    says = lambda chunk, words: F.exists(words, lambda a: chunk.contains(F.concat(F.lit(" "), a, F.lit(" "))))
+    current = F.exists("chunks", lambda c: says(c, F.col("anchors")))
+    others = (F.size("other") > 0) & F.forall("chunks", lambda c: says(c, F.col("other")))
+    verdict = F.when(F.exists("kinds", lambda k: k != "text"), "VISUAL_PASS").when(F.size("anchors") == 0, "NO_RELIABLE_ANCHOR_PASS").when(current, "CURRENT_ENTITY_PRESENT").when(others, "OTHER_ROWS_ONLY").otherwise("UNCERTAIN_PASS")
+    return j.select("task_id", verdict.alias("verdict"))

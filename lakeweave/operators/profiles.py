@@ -38,6 +38,22 @@ def dominant_by_key(cell: DataFrame, key: int = 0, value: int = 1) -> DataFrame:
     return n.withColumn("r", F.row_number().over(order)).filter("r = 1").select("source_table_id", "key", "value", "n")
 
 
+def target_rows(cell: DataFrame, bridge: int, dependent: list[int]) -> DataFrame:
+    """(source_table_id, row_id, bridge, c<i>...): one row per bridge value, in order, with the dominant
+    value of each dependent column. Bridge values without one complete row are left out."""
+    part = cell.filter(F.col("column_index").isin(bridge, *dependent))
+    pick = lambda c: F.max(F.when(F.col("column_index") == c, F.col("text")))
+    wide = part.groupBy("source_table_id", "row_id").agg(pick(bridge).alias("bridge"), *[pick(c).alias(f"c{c}") for c in dependent])
+    for c in ("bridge", *[f"c{c}" for c in dependent]):
+        wide = wide.filter(F.col(c) != "")
+    out = wide.select("source_table_id", "bridge").distinct()
+    for c in dependent:
+        best = dominant_by_key(cell, bridge, c).select("source_table_id", F.col("key").alias("bridge"), F.col("value").alias(f"c{c}"))
+        out = out.join(best, ["source_table_id", "bridge"])
+    place = F.row_number().over(Window.partitionBy("source_table_id").orderBy("bridge")) - 1
+    return out.select("source_table_id", place.alias("row_id"), "bridge", *[f"c{c}" for c in dependent])
+
+
 def redundant_columns(cell: DataFrame) -> DataFrame:
     """Columns of a table with the same values row by row, in groups of two or more."""
     one, two = (F.xxhash64(F.lit(salt), "row_id", "text").cast("decimal(38,0)") for salt in ("a", "b"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import building, lake, packed, records, samples, search
+from lakeweave.plans import building, lake, listings, packed, records, relevance, samples, search
 
-MODULES = (packed, lake, search, samples, records, building)
+MODULES = (packed, lake, search, samples, records, building, relevance, listings)
 FLAGSHIP = "tiered_rerank"
 
 
