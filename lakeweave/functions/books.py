@@ -224,7 +224,7 @@ def header_key(c: Column) -> Column:
 def number_with_unit(c: Column) -> Column:
     """(number, unit) of a text that is one number and a unit behind it; null for others."""
     t = one_line(folded(c))
-    pattern = r"^([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*(%|[\p{L}°²³/]*)$"
+    pattern = r"^([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*([%a-z°²³/_-]*)$"
     number = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
     return F.when(t.rlike(pattern) & number.isNotNull(), F.struct(number.alias("number"), F.regexp_extract(t, pattern, 2).alias("unit")))
 

@@ -113,7 +113,7 @@ def header_keys(s, root):
     return d.select("column_name", B.header_key(F.col("column_name")).alias("header_key"))
 
 
-NUM = "'^([+-]?(?:\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.\\d+)?)\\s*(%|[\\pL°²³/]*)$'"
+NUM = "'^([+-]?(?:\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.\\d+)?)\\s*([%a-z°²³/_-]*)$'"
 
 
 @query(f"SELECT unit, count(*) AS n, round(avg(number), 4) AS mean FROM (SELECT regexp_extract(t, {NUM}, 2) AS unit, replace(regexp_extract(t, {NUM}, 1), ',', '')::DOUBLE AS number FROM (SELECT {K.norm('value')} AS t FROM distinct_values WHERE value IS NOT NULL) WHERE regexp_matches(t, {NUM})) GROUP BY 1")

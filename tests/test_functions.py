@@ -17,7 +17,7 @@ def test_text(spark):
     assert col(spark, ["A_b: C%", "Straße—É"], T.normalize) == ["a b c%", "strasse é"]
     assert col(spark, ["１２ – Ａ", "A  B"], T.norm) == ["12 - a", "a b"]
     assert col(spark, ["It’s O'Neil"], T.text_key) == ["its oneil"]
-    assert col(spark, ["Caf%C3%A9_é"], T.gate_norm) == ["cafe_e"]
+    assert col(spark, ["Caf%C3%A9_é"], T.gate_norm) == ["cafe e"]
     assert col(spark, ["1,000", "5%", "1_0", "nan", "x", "", "1e5", "."], T.is_number) == [True, True, True, True, False, False, True, False]
     assert col(spark, ["March 5, 1999 x", "Foo 1, 2000", None], T.iso_date) == ["1999-03-05", None, None]
     assert col(spark, ["in 1850 or", "20500", None], T.as_year) == [1850, None, None]
