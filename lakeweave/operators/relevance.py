@@ -57,6 +57,15 @@ def value_ambiguity(claims: DataFrame, cells: DataFrame, gold: DataFrame) -> Dat
     return j.select("query_id", "attribute", "value", "n_gold", (F.col("n_all") - F.col("n_gold")).alias("n_other"))
 
 
+def value_overlap(pairs: DataFrame, query_values: DataFrame, target_values: DataFrame) -> DataFrame:
+    """Per kind of (query_id, target_id, kind): pairs, and those that share a value in a column of the
+    same name; values (query_id, attribute, v_key) and (target_id, attribute, v_key)."""
+    p = pairs.distinct()
+    met = p.join(query_values.distinct(), "query_id").join(target_values.distinct(), ["target_id", "attribute", "v_key"]).select("query_id", "target_id", "kind").distinct().withColumn("m", F.lit(1))
+    j = p.join(met, ["query_id", "target_id", "kind"], "left")
+    return j.groupBy("kind").agg(F.count("*").alias("pairs"), F.count("m").alias("overlapping"), F.round(F.count("m") / F.count("*"), 6).alias("share"))
+
+
 def join_impact(edges: DataFrame) -> DataFrame:
     """Per attribute of edges (query_id, target_id, attribute): the pairs and queries that use it, and the
     queries that would lose every relevant target without it."""

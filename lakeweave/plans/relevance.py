@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeweave.functions.text import norm
+from lakeweave.functions.values import with_value
 from lakeweave.operators import dedupe as D
 from lakeweave.operators import losses as L
 from lakeweave.operators import profiles as P
@@ -245,3 +247,13 @@ def targets_met_together(s, root):
     return met.groupBy("target_a", "target_b").agg(F.count("*").alias("n")).filter("n >= 5")
 
 
+@query(f"WITH {K.CELLS}, {SC}, {search.QV}, {search.DOM}, qa AS (SELECT DISTINCT table_id AS query_id, {K.norm('column_name')} AS attribute, {K.key('n')} AS v_key FROM (SELECT *, {K.norm('text')} AS n FROM qc)), mt AS (SELECT DISTINCT sc.query_id, sc.target_id FROM sc JOIN qa USING (query_id) JOIN dm ON dm.source_table_id = sc.target_id AND dm.attribute = qa.attribute AND dm.v_key = qa.v_key), pr AS (SELECT DISTINCT query_id, target_id, CASE WHEN positive THEN 'relevant' WHEN rank <= 10 THEN 'first_10' ELSE 'other' END AS kind FROM sc) SELECT kind, count(*) AS pairs, count(mt.query_id) AS overlapping, round(count(mt.query_id) / count(*), 6) AS share FROM pr LEFT JOIN mt USING (query_id, target_id) GROUP BY 1")
+def retrieval_overlap(s, root):
+    """How often a view shares a value, in a column of one name, with relevant, first and other targets."""
+    n = lists(s, root)
+    pairs = n.select("query_id", "target_id", F.when(F.col("positive"), "relevant").when(F.col("rank") <= 10, "first_10").otherwise("other").alias("kind"))
+    q = table(s, root, "query_tables").filter("table_id is not null and rows is not null").select(F.col("table_id").alias("query_id"), "rows").distinct()
+    cell = q.select("query_id", F.explode("rows").alias("r")).select("query_id", F.explode("r.cells").alias("c")).select("query_id", norm("c.column_name").alias("attribute"), F.coalesce("c.text", F.lit("")).alias("text"))
+    own = with_value(cell, "text").filter("v_key is not null").select("query_id", "attribute", "v_key")
+    dom = search.domain(s, root).filter("v_key is not null").select(F.col("source_table_id").alias("target_id"), "attribute", "v_key")
+    return V.value_overlap(pairs, own, dom)

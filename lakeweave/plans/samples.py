@@ -211,3 +211,23 @@ def tables_without_queries(s, root):
 def token_windows(s, root):
     d = table(s, root, "documents").filter("n_chars > 0").select("doc_id", R.windows(F.col("n_chars"), 512, 64).alias("w"))
     return d.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("w", lambda x: x["begin"].cast("string")), ", "), F.lit("]")).alias("begins"))
+
+
+@query(f"""WITH z AS (SELECT source, least(n, 5, 40) AS first, least(n, 40) - least(n, 5, 40) AS n FROM (SELECT source, count(DISTINCT asset_id) AS n FROM bridge_assets WHERE source IS NOT NULL GROUP BY 1)), v AS (SELECT *, sqrt(n) AS w FROM z WHERE n > 0),
+ a AS (SELECT *, least(greatest(0, 120 - (SELECT sum(first) FROM z)), sum(n) OVER ()) AS slots FROM v), b AS (SELECT *, (slots - coalesce(sum(n) OVER (ORDER BY n, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY n DESC, source DESC) >= w AS fits FROM a),
+ c AS (SELECT *, bool_and(fits) OVER (ORDER BY n, source) AS full_ FROM b), e AS (SELECT *, CASE WHEN full_ THEN n ELSE (slots - coalesce(sum(CASE WHEN full_ THEN n END) OVER (), 0)) * w / sum(CASE WHEN NOT full_ THEN w END) OVER () END AS share FROM c),
+ f AS (SELECT *, floor(share) AS whole, row_number() OVER (PARTITION BY full_ ORDER BY share - floor(share) DESC, n, source) AS i, slots - sum(floor(share)) OVER () AS rest FROM e)
+ SELECT z.source, (z.first + coalesce(whole + (NOT full_ AND i <= rest)::INT, 0))::BIGINT AS quota FROM z LEFT JOIN f USING (source)""")
+def class_quotas(s, root):
+    """120 slots over the sources: five each, the rest by roots, 40 at most."""
+    sizes = table(s, root, "bridge_assets").filter("source is not null").groupBy("source").agg(F.countDistinct("asset_id").alias("n"))
+    return S.base_then_root(sizes, "source", 120, 5, 40)
+
+
+@query("""WITH c AS (SELECT entity_id, asset_type, page_url, asset_id, (source <> 'wiki_extract')::INT AS ind FROM (SELECT DISTINCT entity_id, asset_type, page_url, asset_id, source FROM bridge_assets WHERE entity_id IS NOT NULL AND asset_type IS NOT NULL AND page_url IS NOT NULL AND asset_id IS NOT NULL AND source IS NOT NULL)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, page_url ORDER BY ind, asset_id, asset_type) AS r FROM c)
+ SELECT entity_id, asset_type, page_url, asset_id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, asset_type ORDER BY ind, asset_id, asset_type) AS attempt FROM o WHERE r = 1) WHERE attempt <= 3""")
+def planned_pages(s, root):
+    """Up to three pages per entity and kind of evidence, encyclopedic sources first, no page twice."""
+    a = table(s, root, "bridge_assets").select("entity_id", "asset_type", "page_url", "asset_id", "source").na.drop().distinct()
+    return S.budgeted(a, "entity_id", "asset_type", "page_url", F.col("source") == "wiki_extract", [F.col("asset_id"), F.col("asset_type")], 3).drop("source")

@@ -60,11 +60,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders written by ``settle`` and not yet released.
+SETTLED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that ``settle`` wrote so far, once the results that read it are written or shown;
+    returns the number of folders. A long session calls it after each query."""
+    n = len(SETTLED)
+    while SETTLED:
+        _remove(spark, SETTLED.pop())
+    return n
+
+
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them back.
 
     Lost executors then cost a re-read, never a recomputation of the whole plan. The files are
-    removed when the driver process ends.
+    removed by ``release``, at the latest when the driver process ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"settled-{uuid.uuid4().hex}")
@@ -72,7 +85,9 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not SETTLED:
+        atexit.register(release, spark)
+    SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -49,6 +49,30 @@ def upsert(spark: SparkSession, store: str, rows: DataFrame, key: str, at: str)
     return spark.read.parquet(place.at(version))
 
 
+def fetched_once(spark: SparkSession, tasks: DataFrame, key: str, store: str, fetch, result: str) -> DataFrame:
+    """``tasks`` with the ``result`` of their key, every distinct key fetched once and kept in ``store``.
+
+    ``fetch`` takes a list of keys and gives as many texts, None for a failure. Keys that the store
+    already holds are not fetched again; failures are not stored, so a later run tries them anew. The
+    results are written before they are joined back, so a lost task costs no second fetch of the rest.
+    """
+    place = Folder(spark, store)
+    versions = [n for n in place.names("") if n.startswith("v-")]
+    known = spark.read.parquet(*[place.at(v) for v in versions]) if versions else spark.createDataFrame([], f"__key string, __at timestamp, {result} string")
+    wanted = tasks.select(F.col(key).cast("string").alias("__key")).filter("__key is not null").distinct().join(known, "__key", "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            got = fetch(pdf["__key"].tolist()) if len(pdf) else []
+            yield pdf.assign(**{result: got})
+
+    version = place.at(f"v-{uuid.uuid4().hex}")
+    fresh = wanted.mapInPandas(run, f"__key string, {result} string").filter(F.col(result).isNotNull())
+    fresh.select("__key", F.current_timestamp().alias("__at"), result).write.parquet(version)
+    every = spark.read.parquet(*[place.at(v) for v in versions], version).groupBy("__key").agg(F.max_by(result, "__at").alias(result))
+    return tasks.join(every, tasks[key].cast("string") == every["__key"], "left").drop("__key")
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Events per type and window with a watermark; an extension for event streams."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)

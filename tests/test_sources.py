@@ -108,3 +108,21 @@ def test_event_windows(spark, tmp_path):
     q.awaitTermination()
     assert [(r.n, r.total) for r in spark.sql("select n, total from w").collect()] == [(2, 5.0)]
     assert T.sessions(ev).first().n == 2 and C.latest(ev, "user_id", "ts").count() == 1
+
+
+def test_fetched_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.write_text("")
+
+    def fetch(keys):
+        with open(log, "a") as f:
+            f.writelines(k + "\n" for k in keys)
+        return [None if k == "bad" else k.upper() for k in keys]
+
+    tasks = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "bad"), (5, None)], "id int, url string")
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        got = {r.id: r.page for r in T.fetched_once(spark, tasks, "url", store, fetch, "page").collect()}
+        assert got == {1: "A", 2: "A", 3: "B", 4: None, 5: None}
+    assert sorted(log.read_text().split()) == ["a", "b", "bad", "bad"]
+    assert T.fetched_once(spark, tasks.limit(0), "url", store, fetch, "page").count() == 0
