@@ -98,6 +98,37 @@ def query_ids(layout: DataFrame) -> DataFrame:
     )
 
 
+def view_cells(cells: DataFrame, layout: DataFrame, ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, row_id, source_row_id, column_index, column_name, text): what a query shows: the entity
+    and its query context on the rows (source_table_id, row_id) chosen for it, rows numbered anew."""
+    shown = layout.filter("role in ('entity', 'query')").select("source_table_id", "column_index")
+    own = cells.join(rows, ["source_table_id", "row_id"], "left_semi").join(shown, ["source_table_id", "column_index"], "left_semi")
+    placed = own.select("source_table_id", F.col("row_id").alias("source_row_id"), "column_index", "column_name", "text").withColumn("row_id", F.dense_rank().over(Window.partitionBy("source_table_id").orderBy("source_row_id")) - 1)
+    return ids.select("source_table_id", "query_id").distinct().join(placed, "source_table_id").select("query_id", "row_id", "source_row_id", "column_index", "column_name", "text")
+
+
+def target_cells(cells: DataFrame, layout: DataFrame, ids: DataFrame) -> DataFrame:
+    """(target_id, row_id, source_row_id, column_index, column_name, text): what a target shows: its join
+    column and the target context, on the first row of every value of the join column."""
+    joins = ids.select("source_table_id", "target_id", F.col("hidden").alias("column_index")).join(cells.select("source_table_id", "column_index", "row_id", normalize("text").alias("k")), ["source_table_id", "column_index"]).filter("k <> ''")
+    first = joins.groupBy("source_table_id", "target_id", "k").agg(F.min("row_id").alias("source_row_id"))
+    placed = first.withColumn("row_id", F.row_number().over(Window.partitionBy("target_id").orderBy("source_row_id")) - 1).select("source_table_id", "target_id", "row_id", "source_row_id")
+    columns = ids.select("target_id", "source_table_id", F.col("hidden").alias("column_index")).unionByName(ids.select("target_id", "source_table_id").join(layout.filter("role = 'target'").select("source_table_id", "column_index"), "source_table_id").select("target_id", "source_table_id", "column_index"))
+    own = cells.select("source_table_id", F.col("row_id").alias("source_row_id"), "column_index", "column_name", "text")
+    return placed.join(columns, ["target_id", "source_table_id"]).join(own, ["source_table_id", "source_row_id", "column_index"]).select("target_id", "row_id", "source_row_id", "column_index", "column_name", "text")
+
+
+def build_dataset(cells: DataFrame, layout: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
+    """Queries, targets and relevance records of all tables in one call.
+
+    ``layout`` gives the columns' roles, ``rows`` (source_table_id, row_id) the rows a query shows. Query
+    and target of one hidden column are relevant to each other; every frame stays lazy."""
+    ids = settle(query_ids(layout))
+    names = cells.select("source_table_id", F.col("column_index").alias("hidden"), F.col("column_name").alias("attribute")).distinct()
+    qrels = ids.join(names, ["source_table_id", "hidden"]).select("query_id", "target_id", "source_table_id", "attribute", F.lit(1).alias("rel"))
+    return {"queries": view_cells(cells, layout, ids, rows), "targets": target_cells(cells, layout, ids), "qrels": qrels}
+
+
 def copied_columns(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Of (channel, column_name, asset_text, cell_text): channels whose texts copy the cell too often."""
     a, c = F.lower(F.trim("asset_text")), F.lower(F.trim("cell_text"))

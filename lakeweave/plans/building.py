@@ -74,6 +74,17 @@ def join_records(s, root):
     return J.query_ids(layout(s, root))
 
 
+@query()
+def joinability_dataset(s, root):
+    """All parts of the built dataset in one frame: queries of the first five rows, targets, relevance."""
+    cells = settle(C.cells(C.lake(table(s, root, "source_tables"))))
+    roles = settle(layout(s, root))
+    made = J.build_dataset(cells, roles, cells.filter("row_id < 5").select("source_table_id", "row_id").distinct())
+    line = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).alias("id"), "row_id", "column_index", "column_name", "text")
+    rel = made["qrels"].select(F.lit("qrel").alias("part"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("row_id"), F.lit(None).cast("int").alias("column_index"), F.col("attribute").alias("column_name"), F.col("target_id").alias("text"))
+    return line(made["queries"], "query", "query_id").unionByName(line(made["targets"], "target", "target_id")).unionByName(rel)
+
+
 @query(
     f"""WITH {K.PAIRS}, hid AS (SELECT source_table_id, 1 AS hidden FROM (SELECT DISTINCT source_table_id FROM cells WHERE column_index = 1))
  SELECT p.source_table_id, 1 AS hidden, y_col AS column_index, round_even(avg((x = y OR (least(length(x), length(y)) >= 4 AND (contains(y, x) OR contains(x, y))))::INT), 6) AS share, count(*) AS n

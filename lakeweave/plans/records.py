@@ -212,10 +212,10 @@ def vector_lengths(s, root):
     return table(s, root, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(X.length("embedding")), 6).alias("mean_length"))
 
 
-@query()
+@query("SELECT label, k - 1 AS position, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1, 2")
 def group_mean_vectors(s, root):
-    p = table(s, root, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return p.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", F.round("m", 6).alias("m")))).alias("v")).select("label", F.transform("v", lambda x: x["m"]).alias("mean"))
+    p = table(s, root, "embeddings").select("label", F.posexplode("embedding").alias("position", "x"))
+    return p.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @query()
@@ -229,7 +229,11 @@ def public_urls(s, root):
     return table(s, root, "bridge_assets").select("page_url").filter("page_url is not null").distinct().select("page_url", T.public_url("page_url").alias("url"))
 
 
-@query()
+PAGES = """n AS (SELECT DISTINCT 's:' || source_table_id AS a, 'p:' || lower(trim(pgtitle)) AS b FROM source_tables WHERE source_table_id IS NOT NULL AND pgtitle IS NOT NULL),
+ pp AS (SELECT DISTINCT x.b AS a, y.b AS b FROM n x JOIN n y USING (a)), r(p, c) AS (SELECT DISTINCT b, b FROM n UNION SELECT pp.b, r.c FROM r JOIN pp ON pp.a = r.p), pc AS (SELECT p, min(c) AS c FROM r GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {PAGES} SELECT p AS node, c AS component FROM pc UNION ALL SELECT a, min(c) FROM n JOIN pc ON p = b GROUP BY a")
 def page_components(s, root):
     """Tables that share a page title or an identifier, joined over any number of steps."""
     t = table(s, root, "source_tables").filter("source_table_id is not null and pgtitle is not null").select(F.concat(F.lit("s:"), "source_table_id").alias("a"), F.concat(F.lit("p:"), F.lower(F.trim("pgtitle"))).alias("b")).distinct()

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import norm
 from lakeweave.functions.values import with_value
-from lakeweave.operators import dedupe as D
 from lakeweave.operators import losses as L
 from lakeweave.operators import profiles as P
 from lakeweave.operators import relevance as V
-from lakeweave.plans import lake, search
+from lakeweave.plans import lake, records, search
 from lakeweave.plans import sqlkit as K
 from lakeweave.runtime import settle, table
 
@@ -227,15 +226,10 @@ def removable_assets(s, root):
     return V.removable_assets(a.drop("entity_id"), labelled, used, 20, ["shop_page", "seller_description"])
 
 
-@query(
-    """WITH RECURSIVE n AS (SELECT DISTINCT 's:' || source_table_id AS a, 'p:' || lower(trim(pgtitle)) AS b FROM source_tables WHERE source_table_id IS NOT NULL AND pgtitle IS NOT NULL),
- pp AS (SELECT DISTINCT x.b AS a, y.b AS b FROM n x JOIN n y USING (a)), r(p, c) AS (SELECT DISTINCT b, b FROM n UNION SELECT pp.b, r.c FROM r JOIN pp ON pp.a = r.p), pc AS (SELECT p, min(c) AS c FROM r GROUP BY 1)
- SELECT size, count(*) AS n FROM (SELECT c, sum(k) AS size FROM (SELECT c, count(*) AS k FROM pc GROUP BY 1 UNION ALL SELECT c, count(*) FROM (SELECT a, min(c) AS c FROM n JOIN pc ON p = b GROUP BY 1) GROUP BY 1) GROUP BY 1) GROUP BY 1"""
-)
+@query(f"WITH RECURSIVE {records.PAGES} SELECT size, count(*) AS n FROM (SELECT c, sum(k) AS size FROM (SELECT c, count(*) AS k FROM pc GROUP BY 1 UNION ALL SELECT c, count(*) FROM (SELECT a, min(c) AS c FROM n JOIN pc ON p = b GROUP BY 1) GROUP BY 1) GROUP BY 1) GROUP BY 1")
 def page_component_sizes(s, root):
     """Sizes of the components of tables and pages."""
-    t = table(s, root, "source_tables").filter("source_table_id is not null and pgtitle is not null").select(F.concat(F.lit("s:"), "source_table_id").alias("a"), F.concat(F.lit("p:"), F.lower(F.trim("pgtitle"))).alias("b")).distinct()
-    c = D.components(t)
+    c = records.page_components(s, root)
     return c.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 

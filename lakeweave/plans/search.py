@@ -264,7 +264,12 @@ def admitted_candidates(s, root):
     return N.admit(pairs, kept, 150).select("query_id", "target_id", "admitted_rank")
 
 
-@query()
+@query(
+    f"""WITH {Z}, e AS (SELECT query_id AS src, target_id AS dst, score FROM near WHERE rank <= 5 AND query_id <> target_id),
+ h1 AS (SELECT src AS query_id, dst AS node, least(1.0, score) AS score, row_number() OVER (PARTITION BY src ORDER BY least(1.0, score) DESC, dst) AS r FROM e),
+ h2 AS (SELECT h1.query_id, e.dst AS node, least(h1.score, e.score) AS score FROM h1 JOIN e ON e.src = h1.node WHERE h1.r <= 8 AND e.dst <> h1.query_id AND e.dst <> h1.node)
+ SELECT query_id, node, round(max(score), 6) AS score FROM (SELECT query_id, node, score FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2"""
+)
 def beam_paths(s, root):
     near = nearest(s, root, 5).filter("query_id <> target_id")
     return N.beam(near.select("query_id").distinct().withColumn("id", F.col("query_id")), near.select(F.col("query_id").alias("src"), F.col("target_id").alias("dst"), "score"), 8, 2).withColumn("score", F.round("score", 6))

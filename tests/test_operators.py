@@ -276,3 +276,15 @@ def test_vector_joins(spark):
     assert sum(len(set(some[q]) & set(t)) for q, t in exact.items()) >= 0.9 * 5 * len(exact)
     none = df.limit(0)
     assert N.knn_join(none, df, 5).count() == N.knn_join(df, none, 5).count() == N.list_join(df, none, 5).count() == N.list_join(none, df, 5).count() == 0
+
+
+def test_dataset_in_one_call(spark):
+    cells = spark.createDataFrame([("t", r, c, f"h{c}", "" if (r, c) == (3, 1) else f"v{'same' if c == 1 and r in (0, 2) else r}{c}") for r in range(4) for c in range(4)], "source_table_id string, row_id int, column_index int, column_name string, text string")
+    layout = spark.createDataFrame([("t", 0, "entity"), ("t", 1, "hidden"), ("t", 2, "query"), ("t", 3, "target")], "source_table_id string, column_index int, role string")
+    made = J.build_dataset(cells, layout, spark.createDataFrame([("t", 1), ("t", 2)], "source_table_id string, row_id int"))
+    q = {(r.row_id, r.source_row_id, r.column_index) for r in made["queries"].collect()}
+    assert q == {(0, 1, 0), (0, 1, 2), (1, 2, 0), (1, 2, 2)}
+    t = {(r.row_id, r.source_row_id, r.column_index) for r in made["targets"].collect()}
+    assert t == {(0, 0, 1), (0, 0, 3), (1, 1, 1), (1, 1, 3)}
+    (rel,) = made["qrels"].collect()
+    assert rel.attribute == "h1" and rel.query_id.startswith("query_") and rel.target_id.startswith("target_")
