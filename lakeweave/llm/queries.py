@@ -134,6 +134,28 @@ SHARES = f"""WITH k AS ({ANEW.replace("SELECT table_id, CASE", "SELECT g, CASE")
  SELECT new_split, sum(n)::BIGINT AS n_views, sum(n) / (SELECT count(*) FROM k) AS share, count(*) AS n_groups, max(n) AS largest_group FROM per GROUP BY 1"""
 
 
+#: Letters, digits and signs of full width with their plain forms, as NFKC gives them.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\xa0"
+NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  "
+
+
+def _canonical(x: str) -> str:
+    """SQL of the sorted words and numbers of a text; null if there is none."""
+    plain = f"translate(regexp_replace({x}, '[\\p{{Cf}}\\x00-\\x08\\x0e-\\x1b\\x7f]', '', 'g'), '{WIDE.replace(chr(39), chr(39) * 2)}', '{NARROW.replace(chr(39), chr(39) * 2)}')"
+    return f"nullif(array_to_string(list_sort(regexp_extract_all(nfc_normalize(replace(lower(nfc_normalize({plain})), 'ß', 'ss')), '\\pN+(?:[.,]\\pN+)*|[\\pL\\pM]+')), ' '), '')"
+
+
+COPIES = f"""WITH v AS (SELECT DISTINCT value_id AS key, table_id, column_index, {_canonical('value')} AS c FROM distinct_values WHERE value_id IS NOT NULL),
+ t AS (SELECT key, array_to_string(list(array_to_string(list_sort([x FOR x IN r IF x IS NOT NULL]), chr(31)) ORDER BY i), chr(30)) AS c FROM (
+   SELECT key, d, i, list({_canonical('cell')} ORDER BY j) AS r FROM (SELECT key, d, i, unnest(CASE WHEN len(row) > 0 THEN row ELSE [NULL] END) AS cell, generate_subscripts(CASE WHEN len(row) > 0 THEN row ELSE [NULL] END, 1) AS j FROM (
+     SELECT source_table_id AS key, row_number() OVER () AS d, unnest(data) AS row, generate_subscripts(data, 1) AS i FROM source_tables WHERE source_table_id IS NOT NULL AND data IS NOT NULL)) GROUP BY 1, 2, 3) GROUP BY key, d),
+ g AS (SELECT 'distinct_values' AS tab, key, coalesce(table_id, chr(1)) || chr(31) || coalesce(column_index::VARCHAR, chr(1)) || chr(29) || c AS c FROM v WHERE c IS NOT NULL UNION SELECT 'source_tables', key, c FROM t WHERE replace(c, chr(30), '') <> ''),
+ f AS (SELECT tab, min(key) OVER (PARTITION BY tab, c) AS kept_key, key AS copy_key FROM g)
+ SELECT DISTINCT tab, kept_key, copy_key FROM f WHERE kept_key <> copy_key"""
+
+COPY_COUNTS = f"SELECT tab, kept_key, count(*) + 1 AS n_copies FROM ({COPIES}) GROUP BY 1, 2"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can state; the others are held against brute force in tests/llm."""
-    return {"p7_found": TORN, "p7_splits": ANEW, "p7_shares": SHARES}
+    return {"p6_found": COPIES, "p6_counts": COPY_COUNTS, "p7_found": TORN, "p7_splits": ANEW, "p7_shares": SHARES}
