@@ -156,6 +156,14 @@ COPIES = f"""WITH v AS (SELECT DISTINCT value_id AS key, table_id, column_index,
 COPY_COUNTS = f"SELECT tab, kept_key, count(*) + 1 AS n_copies FROM ({COPIES}) GROUP BY 1, 2"
 
 
+#: All pairs of vectors: exact, while the operator may leave out a small part of them.
+SIMILAR = """WITH z AS (SELECT vec_id, any_value(z)::DOUBLE[] AS z FROM z_store WHERE vec_id IS NOT NULL AND z IS NOT NULL AND len(z) = 64 GROUP BY 1),
+ u AS (SELECT * FROM z WHERE len([x FOR x IN z IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN z IF x <> 0]) > 0),
+ n AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.z, b.z), 12) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+ k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+ SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM k WHERE c >= 0.9"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can state; the others are held against brute force in tests/llm."""
-    return {"p6_found": COPIES, "p6_counts": COPY_COUNTS, "p7_found": TORN, "p7_splits": ANEW, "p7_shares": SHARES}
+    return {"p1_found": SIMILAR, "p6_found": COPIES, "p6_counts": COPY_COUNTS, "p7_found": TORN, "p7_splits": ANEW, "p7_shares": SHARES}
