@@ -224,7 +224,10 @@ def text_chunks(s, root):
     return d.select("doc_id", F.posexplode(T.chunks(800)("text")).alias("pos", "chunk"))
 
 
-@query()
+HOST = "regexp_extract(lower(page_url), '^\\s*https?://([^/?#:@]+)', 1)"
+
+
+@query(f"SELECT page_url, CASE WHEN regexp_matches(page_url, '^\\s*(?i)https?://[^/?#:@]+(?:[/?#]|$)') AND contains({HOST}, '.') AND NOT regexp_matches({HOST}, '(?:^|\\.)(?:localhost|local|internal)$|^[0-9.]+$') THEN regexp_extract(lower(page_url), '^\\s*(https?)://', 1) || '://' || {HOST} || CASE WHEN regexp_matches(page_url, '://[^/?#]+/') THEN '' ELSE '/' END || regexp_extract(trim(page_url), '://[^/?#]+([^#]*)', 1) END AS url FROM (SELECT DISTINCT page_url FROM bridge_assets WHERE page_url IS NOT NULL)")
 def public_urls(s, root):
     return table(s, root, "bridge_assets").select("page_url").filter("page_url is not null").distinct().select("page_url", T.public_url("page_url").alias("url"))
 
