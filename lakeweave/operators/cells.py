@@ -164,3 +164,39 @@ def context_columns(profiles: DataFrame, exclude: DataFrame, most: int = 3) -> D
 
 def says_nothing(name: Column) -> Column:
     return F.regexp_replace(F.lower(clean_text(name)), r"^[ .:]+|[ .:]+$", "").isin(*[h.strip(" .:") for h in EMPTY_HEADERS])
+
+
+def reader_view(rows: Column) -> Column:
+    """Rows of structs as arrays of texts, all a reader sees of them; null texts are empty."""
+    return F.transform(rows, lambda r: F.transform(r["cells"], lambda c: F.coalesce(c["text"], F.lit(""))))
+
+
+def source_columns(indices: Column) -> Column:
+    """Map from a source column's index to its place in a projected table."""
+    return F.map_from_entries(F.transform(F.array_distinct(indices), lambda c: F.struct(c, (F.array_position(indices, c) - 1).cast("int"))))
+
+
+def permuted(key: Column, columns: Column, seed: int = 0) -> Column:
+    """The places 0, 1, ... of an array in a digest order of ``key``, the same on every run."""
+    places = F.transform(columns, lambda _, i: F.struct(F.sha2(F.concat_ws("|", F.lit(f"permute|{seed}"), key, i.cast("string")), 256).alias("d"), i.alias("i")))
+    return F.transform(F.array_sort(places), lambda x: x["i"])
+
+
+def context_choice(query: Column, target: Column, free: Column) -> Column:
+    """(query, target): context columns for both sides, as many as each had: its own ones first, then free
+    ones in order; a target takes none that the query shows. Null where there are not enough."""
+    more = F.array_except(free, F.array_union(query, target))
+    own = F.array_except(target, query)
+    lacking = F.size(target) - F.size(own)
+    chosen = F.concat(own, F.slice(more, F.lit(1), F.greatest(lacking, F.lit(0))))
+    return F.when(F.size(chosen) == F.size(target), F.struct(query.alias("query"), chosen.alias("target")))
+
+
+def shows_attribute(names: Column, texts: Column, attribute: Column) -> Column:
+    """Whether a row already shows a value under a column of that name."""
+    return F.exists(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda x: (x["n"] == attribute) & (F.coalesce(x["t"], F.lit("")) != ""))
+
+
+def evidence_is_shown(columns: Column, source_column: Column) -> Column:
+    """Whether the column that an asset was made from is one of those a query displays."""
+    return F.coalesce(F.array_contains(columns, source_column), F.lit(False))

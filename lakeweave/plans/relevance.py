@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions.text import norm
 from lakeweave.functions.values import with_value
+from lakeweave.operators import cells as C
 from lakeweave.operators import losses as L
 from lakeweave.operators import profiles as P
 from lakeweave.operators import relevance as V
@@ -251,3 +252,18 @@ def retrieval_overlap(s, root):
     own = with_value(cell, "text").filter("v_key is not null").select("query_id", "attribute", "v_key")
     dom = search.domain(s, root).filter("v_key is not null").select(F.col("source_table_id").alias("target_id"), "attribute", "v_key")
     return V.value_overlap(pairs, own, dom)
+
+
+@query("SELECT DISTINCT table_id, array_to_string([array_to_string([coalesce(c.text, '') FOR c IN r.cells], ' | ') FOR r IN rows], chr(10)) AS shown FROM query_tables WHERE table_id IS NOT NULL AND rows IS NOT NULL")
+def reader_views(s, root):
+    """What a reader sees of a view: the texts of its rows."""
+    q = table(s, root, "query_tables").filter("table_id is not null and rows is not null")
+    return q.select("table_id", F.array_join(F.transform(C.reader_view(F.col("rows")), lambda r: F.array_join(r, " | ")), "\n").alias("shown")).distinct()
+
+
+@query("SELECT DISTINCT table_id, array_to_string([column_names[k.i + 1] FOR k IN list_sort([{'d': sha256('permute|7|' || table_id || '|' || i), 'i': i} FOR i IN range(len(column_names))])], ' | ') AS columns FROM query_tables WHERE table_id IS NOT NULL AND column_names IS NOT NULL")
+def permuted_columns(s, root):
+    """Column names of views in an order of their own."""
+    q = table(s, root, "query_tables").filter("table_id is not null and column_names is not null").select("table_id", "column_names").distinct()
+    names = F.transform(C.permuted(F.col("table_id"), F.col("column_names"), 7), lambda i: F.get("column_names", i))
+    return q.select("table_id", F.array_join(names, " | ").alias("columns")).distinct()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeweave.functions import books as B
+from lakeweave.operators import cells as C
 from lakeweave.operators import evidence as E
 from lakeweave.operators import listings as L
 from lakeweave.operators import losses as S
@@ -86,3 +87,14 @@ def test_detail_listing(spark):
     cards = spark.createDataFrame([("b1", 1, "https://S.test/x", "other", "T", "A"), ("b1", 2, "https://s.test/y", "S", "T", "A"), ("b2", 3, None, "Good Books", "T", "A"), ("b3", 4, None, "x", "the title", "an"), ("b4", 5, None, "x", "y", "z")], "b string, listing_id int, seller_url string, seller_name string, title string, authors string")
     got = {r.b: (r.method, r.listings) for r in L.detail_listing(book, cards, "b").collect()}
     assert got == {"b1": ("seller_url", [1]), "b2": ("seller_name", [3]), "b3": ("title_authors", [4]), "b4": ("none", [])}
+
+
+def test_views_of_columns(spark):
+    assert col(spark, [[4, 2, 4], [], None], C.source_columns, "array<int>") == [{4: 0, 2: 1}, {}, None]
+    df = spark.createDataFrame([([1, 2], [2, 3], [5, 1, 6]), ([1], [1, 2], [2, 1]), ([], [4], [])], "q array<int>, t array<int>, f array<int>")
+    assert [None if r[0] is None else (r[0].query, r[0].target) for r in df.select(C.context_choice(F.col("q"), F.col("t"), F.col("f"))).collect()] == [([1, 2], [3, 5]), None, ([], [4])]
+    df = spark.createDataFrame([(["a", "b"], ["x", ""], "a"), (["a", "b"], ["x", ""], "b"), (["a"], [None], "a")], "n array<string>, t array<string>, w string")
+    assert [r[0] for r in df.select(C.shows_attribute(F.col("n"), F.col("t"), F.col("w"))).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(C.evidence_is_shown(F.col("n"), F.col("w"))).collect()] == [True, True, True]
+    got = col(spark, [["a", "b", "c"], [], None], lambda c: C.permuted(F.lit("k"), c), "array<string>")
+    assert sorted(got[0]) == [0, 1, 2] and got[1] == [] and got[2] is None
