@@ -82,3 +82,16 @@ def balanced_clusters(x: np.ndarray, clusters: int, capacity: int, rounds: int =
                 m = u[own == k].mean(axis=0)
                 c[k] = m / max(np.linalg.norm(m), 1e-12)
     return own
+
+
+def bin_means(df: DataFrame, by: str, position: str, vector: str, limit: int) -> DataFrame:
+    """(by, bin, mean): a sequence's vectors as at most ``limit`` means of consecutive ones; a sequence of
+    up to ``limit`` vectors stays as it is. Positions count from 0 without gaps."""
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy(by))
+    # Bin j holds the positions from floor(j n / limit) up to the next one.
+    bin_of = F.when(F.col("__n") <= limit, F.col(position)).otherwise(F.floor(((F.col(position) + 1) * limit - 1) / F.col("__n")))
+    placed = df.withColumn("__n", n).select(by, bin_of.cast("int").alias("bin"), F.posexplode(F.col(vector)).alias("__k", "__x"))
+    mean = placed.groupBy(by, "bin", "__k").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    return mean.groupBy(by, "bin").agg(F.array_sort(F.collect_list(F.struct("__k", "__m"))).alias("__v")).select(by, "bin", F.transform("__v", lambda x: x["__m"]).alias("mean"))

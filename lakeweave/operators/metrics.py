@@ -97,3 +97,22 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of one side only: an empty result proves that two populations are the same."""
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
     return a.join(b, key, "full_outer").filter("l is null or r is null").select(key, F.when(F.col("l").isNull(), "right").otherwise("left").alias("side"))
+
+
+def paired_contrast(method: DataFrame, reference: DataFrame, group: str, metrics: list[str], replicates: int = 10_000, seed: int = 7) -> DataFrame:
+    """(metric, delta, low, high, w, l, t): differences of two evaluations of the same queries, (query_id,
+    group, metrics...), with bootstrap intervals over whole groups. Populations that are not the same,
+    with each query once and under one group, raise."""
+    keys = ["query_id", group]
+    for side in (method, reference):
+        if not side.groupBy("query_id").count().filter("count > 1").isEmpty():
+            raise ValueError("a query occurs twice")
+    place = F.to_json(F.struct(*keys))
+    if not unmatched(method.select(place.alias("k")), reference.select(place.alias("k")), "k").isEmpty():
+        raise ValueError("the evaluations cover different queries")
+    both = method.select(*keys, *[F.col(m).alias(f"__{m}") for m in metrics]).join(reference.select("query_id", *metrics), "query_id")
+    out = None
+    for m in metrics:
+        one = group_bootstrap(both.select(group, (F.col(f"__{m}") - F.col(m)).alias("d")), group, "d", replicates, seed).withColumn("metric", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    return out.select("metric", "delta", "low", "high", "w", "l", "t")

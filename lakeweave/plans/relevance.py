@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeweave.functions.text import norm
+from lakeweave.functions.text import bare_url, norm
 from lakeweave.functions.values import with_value
 from lakeweave.operators import cells as C
 from lakeweave.operators import losses as L
@@ -267,3 +267,18 @@ def permuted_columns(s, root):
     q = table(s, root, "query_tables").filter("table_id is not null and column_names is not null").select("table_id", "column_names").distinct()
     names = F.transform(C.permuted(F.col("table_id"), F.col("column_names"), 7), lambda i: F.get("column_names", i))
     return q.select("table_id", F.array_join(names, " | ").alias("columns")).distinct()
+
+
+@query(f"WITH {WIT}, h AS (SELECT DISTINCT unnest(column_names) AS attribute FROM query_tables WHERE table_id IS NOT NULL AND column_names IS NOT NULL) SELECT DISTINCT evidence_id AS attribute, evidence_id IN (SELECT attribute FROM h WHERE attribute IS NOT NULL) AS shown FROM wt")
+def join_columns(s, root):
+    """Column names that any relevant pair joins on, and whether some view shows a column of that name."""
+    shown = table(s, root, "query_tables").filter("table_id is not null").select(F.explode("column_names").alias("attribute")).filter("attribute is not null").distinct().withColumn("shown", F.lit(True))
+    used = _witnesses(s, root).select(F.col("evidence_id").alias("attribute")).distinct()
+    return used.join(shown, "attribute", "left").select("attribute", F.coalesce("shown", F.lit(False)).alias("shown"))
+
+
+@query("SELECT regexp_extract(lower(page_url), '^([a-z][a-z0-9+.\\-]*://[^/?#]*)', 1) || rtrim(regexp_extract(page_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/') AS url, min(asset_id) AS asset_id, count(DISTINCT asset_id) AS n FROM bridge_assets WHERE page_url IS NOT NULL AND asset_id IS NOT NULL AND regexp_matches(page_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://') GROUP BY 1")
+def unique_pages(s, root):
+    """One job per page address, whatever its query string, with the first asset that wants it."""
+    a = table(s, root, "bridge_assets").filter("page_url is not null and asset_id is not null").select(bare_url("page_url").alias("url"), "asset_id").filter("url is not null")
+    return a.groupBy("url").agg(F.min("asset_id").alias("asset_id"), F.countDistinct("asset_id").alias("n"))

@@ -7,7 +7,9 @@ from lakeweave.functions import books as B
 from lakeweave.operators import cells as C
 from lakeweave.operators import evidence as E
 from lakeweave.operators import listings as L
+from lakeweave.operators import linear
 from lakeweave.operators import losses as S
+from lakeweave.operators import metrics as M
 from lakeweave.operators import relevance as V
 
 
@@ -98,3 +100,22 @@ def test_views_of_columns(spark):
     assert [r[0] for r in df.select(C.evidence_is_shown(F.col("n"), F.col("w"))).collect()] == [True, True, True]
     got = col(spark, [["a", "b", "c"], [], None], lambda c: C.permuted(F.lit("k"), c), "array<string>")
     assert sorted(got[0]) == [0, 1, 2] and got[1] == [] and got[2] is None
+
+
+def test_bin_means(spark):
+    rows = [("a", i, [float(i), 1.0]) for i in range(7)] + [("b", 0, [3.0, 4.0])]
+    got = {(r.k, r.bin): r.mean for r in linear.bin_means(spark.createDataFrame(rows, "k string, p int, v array<double>"), "k", "p", "v", 3).collect()}
+    edges = [(j * 7) // 3 for j in range(4)]
+    want = {("a", j): [sum(range(edges[j], edges[j + 1])) / (edges[j + 1] - edges[j]), 1.0] for j in range(3)} | {("b", 0): [3.0, 4.0]}
+    assert got == want
+
+
+def test_paired_contrast(spark):
+    left = spark.createDataFrame([(f"q{i}", f"g{i % 5}", 0.5 + i % 2, 1.0) for i in range(20)], "query_id string, g string, a double, b double")
+    right = left.select("query_id", "g", F.lit(0.5).alias("a"), "b")
+    got = {r.metric: r for r in M.paired_contrast(left, right, "g", ["a", "b"], 200).collect()}
+    assert got["a"].delta == pytest.approx(0.5) and got["a"].w == 10 and got["a"].t == 10 and got["b"].delta == 0 and got["b"].low == got["b"].high == 0
+    with pytest.raises(ValueError, match="different"):
+        M.paired_contrast(left, right.filter("query_id <> 'q3'"), "g", ["a"], 10)
+    with pytest.raises(ValueError, match="twice"):
+        M.paired_contrast(left.union(left), right, "g", ["a"], 10)
