@@ -274,7 +274,7 @@ def core_pairs(cores: DataFrame, q: int = 3) -> DataFrame:
             yield pd.DataFrame([(a, b) for a, b in zip(pdf["core_a"].tolist(), pdf["core_b"].tolist(), strict=True) if slips(a, b)], columns=["core_a", "core_b"], dtype=object)
 
     spread = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = settle(cores.filter(F.length("core") >= ONE_SLIP).repartition(spread, "core").mapInPandas(sign, "core string, band long"))
+    signed = settle(cores.filter(F.length("core") >= ONE_SLIP).repartition(spread, F.xxhash64("core")).mapInPandas(sign, "core string, band long"))
     left, right = signed.withColumnRenamed("core", "core_a"), signed.withColumnRenamed("core", "core_b")
     met = left.join(right, "band").filter("core_a < core_b and abs(length(core_a) - length(core_b)) <= 2").filter(F.levenshtein("core_a", "core_b", 4) >= 0).select("core_a", "core_b")
     return met.mapInPandas(close, "core_a string, core_b string").distinct()
@@ -379,7 +379,9 @@ def link_names(spellings: DataFrame, nicknames: DataFrame) -> DataFrame:
 
     worded = settle(name_words(spellings))
     word = worded.select("name", F.explode("words").alias("word")).join(given_names(worded), "word").groupBy("name").agg(F.collect_set("word").alias("given"))
-    flagged = worded.select("name", "n").join(word, "name", "left")
+    # Few bytes but much work: the reading is spread by count, which adaptive execution leaves alone.
+    spread = int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = worded.select("name", "n").join(word, "name", "left").repartition(spread, F.xxhash64("name"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
