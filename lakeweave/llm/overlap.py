@@ -178,7 +178,7 @@ def class_pairs(classes: DataFrame, common: int = COMMON_ROWS, hot_pairs: int =
         load = load.filter("nt > 0 and ne > 0").select("key", (F.col("nt") * F.col("ne") > hot_pairs).alias("hot"))
         return settle(keys.join(load, "key"))
 
-    live = shared(_keys(classes).join(classes.select("cls", *side), "cls").withColumn("taken", F.array("row")).withColumn("used", F.array("key")))
+    live = shared(_keys(classes).join(classes.select("cls", *side), "cls"))
     others = live.select("cls", F.col("row").alias("row2"), F.col("key").alias("key2")).distinct()
     ready = []
     for depth in range(1, common + 1):
@@ -186,7 +186,10 @@ def class_pairs(classes: DataFrame, common: int = COMMON_ROWS, hot_pairs: int =
             ready.append(live.select("cls", "key", *side))
             break
         ready.append(live.filter("not hot").select("cls", "key", *side))
-        wider = live.filter("hot").join(others, "cls").filter(~F.array_contains("taken", F.col("row2")))
+        hot = live.filter("hot")
+        if depth == 1:
+            hot = hot.select("cls", *side, F.array("row").alias("taken"), F.array("key").alias("used"))
+        wider = hot.join(others, "cls").filter(~F.array_contains("taken", F.col("row2")))
         wider = wider.select("cls", *side, F.array_sort(F.array_append("taken", F.col("row2"))).alias("taken"), F.array_sort(F.array_append("used", F.col("key2"))).alias("used")).distinct()
         live = shared(wider.withColumn("key", F.xxhash64("used")))
     met = None
