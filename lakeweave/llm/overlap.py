@@ -174,7 +174,8 @@ def class_pairs(classes: DataFrame, common: int = COMMON_ROWS, hot_pairs: int =
     side = ["in_train", "in_eval"]
 
     def shared(keys: DataFrame) -> DataFrame:
-        load = keys.select("cls", "key", *side).distinct().groupBy("key").agg(F.sum(F.col("in_train").cast("long")).alias("nt"), F.sum(F.col("in_eval").cast("long")).alias("ne"))
+        # A class that holds a hash twice counts twice: the load is never underrated.
+        load = keys.groupBy("key").agg(F.sum(F.col("in_train").cast("long")).alias("nt"), F.sum(F.col("in_eval").cast("long")).alias("ne"))
         load = load.filter("nt > 0 and ne > 0").select("key", (F.col("nt") * F.col("ne") > hot_pairs).alias("hot"))
         return settle(keys.join(load, "key"))
 
