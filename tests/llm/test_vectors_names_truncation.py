@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeweave.llm import names as M
 from lakeweave.llm import neighbours as N
 from lakeweave.llm import truncation as T
+from lakeweave.runtime import settle
 
 
 def vectors(rng, n, dim=64):
@@ -50,6 +52,22 @@ def test_small_router_and_small_tasks(stored, router_points, ask_rows):
     assert got == brute(ids, x)
 
 
+@pytest.mark.parametrize("round_rows", [1, 300])
+def test_rounds_of_pieces(stored, round_rows):
+    ids, x, df = stored
+    got = {tuple(r) for r in N.similar_pairs(N.most_similar(df, least_cosine=0.9, factor=1.0, tree_factor=1.0, shard_rows=100, round_rows=round_rows)).collect()}
+    assert got == brute(ids, x)
+
+
+def test_visits_take_no_disk(stored):
+    """No copy of a vector is shuffled for a visit, however many there are."""
+    rows = N.usable(stored[2], "vec_id", "z", 64).dropDuplicates(["way"]).select(F.col("vec_id").alias("cls"), "z")
+    classes = settle(rows)
+    router, over = N.fit_router(classes, 100)
+    found = N.nearest_classes(classes, router, over, 10, 0.9, 1.0, 1.0, 100)
+    assert "Exchange" not in found._jdf.queryExecution().toString() and found.count() > 0
+
+
 def test_rescaled_copies_are_ties(spark):
     """Copies whose directions differ by rounding are ties; the smallest ids are their neighbours."""
     rng = np.random.default_rng(3)
