@@ -250,8 +250,11 @@ def two_hop_retention(s, root):
     asked = tables.join(views(s, root).select(F.col("source_table_id").alias("id")).distinct(), "id", "left_semi")
     first = settle(N.knn_join(asked, kinds[0], 10).unionByName(N.knn_join(asked, kinds[1], 10)))
     evidence = kinds[0].unionByName(kinds[1])
-    second = N.knn_join(evidence.join(first.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi"), tables, 10)
-    kept = N.retain_evidence(N.two_hop_paths(first, second), N.slice_rows(asked), evidence.withColumn("z", N.unit(F.col("z"))))
+    second = settle(N.knn_join(evidence.join(first.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi"), tables, 10))
+    rows, units = N.slice_rows(asked), evidence.withColumn("z", N.unit(F.col("z")))
+    supports = N.row_supports(first.select("query_id", F.col("target_id").alias("evidence_id")), rows, units)
+    paths = N.two_hop_paths(first.join(supports.withColumnRenamed("evidence_id", "target_id"), ["query_id", "target_id"]), second)
+    kept = N.retain_evidence(paths, rows, units)
     return kept.withColumn("coverage", F.round("coverage", 6))
 
 

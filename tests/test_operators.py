@@ -200,6 +200,44 @@ def test_slices_keep_more_than_one_evidence(spark):
     assert {(r.evidence_id, r.step) for r in kept} == {("a", 1), ("b", 2)}
 
 
+def test_vectors_are_not_shuffled_in_blocks(spark):
+    """Blocks of targets go to the workers: no copies of queries and targets for pairs of blocks."""
+    df = spark.createDataFrame([(f"v{i:02d}", [1.0, float(i)]) for i in range(40)], "id string, z array<double>")
+    plan = lambda d: d._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan(N.knn_join(df, df, 3, block_rows=10))
+    reached = spark.createDataFrame([("v01", "v03"), ("v02", "v39")], "query_id string, target_id string")
+    pairs = N.with_evidence_targets(reached.limit(0).withColumn("score", F.lit(0.0)), reached, df, df, block_rows=10)
+    want = {"v01": (1 + 3) / math.sqrt(2 * 10), "v02": (1 + 2 * 39) / math.sqrt(5 * (1 + 39 * 39))}
+    assert {r.query_id: round(r.score, 9) for r in pairs.collect()} == {q: round(v, 9) for q, v in want.items()} and "zip_with" not in plan(pairs)
+
+
+def test_retention_of_many_pairs_equals_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    ids = [f"e{i:02d}" for i in range(30)]
+    z = {i: rng.normal(size=8) for i in ids}
+    z["e07"] = z["e03"]
+    z = {i: v / np.linalg.norm(v) for i, v in z.items()}
+    q = {f"q{i}": rng.normal(size=8) for i in range(6)}
+    paths = [(a, e, f"t{k}", float(round(rng.normal(), 1))) for a in q for k in range(9) for e in rng.permutation(ids)[: 1 + 3 * k]]
+    df = spark.createDataFrame(paths, "query_id string, evidence_id string, target_id string, score double")
+    vectors = lambda d: spark.createDataFrame([(i, v.tolist()) for i, v in d.items()], "id string, z array<double>")
+    rows = N.slice_rows(vectors(q), 2, 8)
+    got = {}
+    for r in N.retain_evidence(df, rows, vectors(z)).collect():
+        got.setdefault((r.query_id, r.target_id), []).append((r.step, r.evidence_id, round(r.coverage, 9)))
+    m = {}
+    for r in rows.orderBy("row").collect():
+        m.setdefault(r.query_id, []).append(r.z)
+    want = {}
+    for a, t in {(p[0], p[2]) for p in paths}:
+        best = sorted(((p[3], p[1]) for p in paths if (p[0], p[2]) == (a, t)), key=lambda x: (-x[0], x[1]))[:16]
+        names = [e for _, e in best]
+        support = np.clip((np.array([z[e] for e in names]) @ np.array(m[a]).T + 1) / 2, 0, 1)
+        chosen, coverage = N.greedy_coverage([w for w, _ in best], support, names)
+        want[a, t] = [(k + 1, e, round(coverage, 9)) for k, e in enumerate(chosen)]
+    assert {k: sorted(v) for k, v in got.items()} == want and "FlatMapGroupsInPandas" not in N.retain_evidence(df, rows, vectors(z))._jdf.queryExecution().toString()
+
+
 def shared_out(sizes, slots, root):
     """Largest remainder by filling the level up slot after slot of the saturated strata."""
     weight = {k: math.sqrt(c) if root else c for k, c in sizes.items()}
