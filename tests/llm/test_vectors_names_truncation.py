@@ -292,3 +292,16 @@ def test_the_longest_near_copy_is_not_the_full_text(spark):
     for hot_pairs in (10**9, 0):
         assert {r.cls for r in T.aligned(texts, T.read_texts(texts), hot_pairs).collect()} == cut | {"typo"}
     assert T.ends_early(dict(rows)["typo"], full(60))
+
+
+def test_hot_buckets_lose_no_partner(spark):
+    """The words before the cut hold a slip, or the shortest text with these words is no near-copy."""
+    word = lambda k, n: " ".join(f"{chr(97 + (k * 7 + j) % 26)}{chr(97 + (j * j + k) % 26)}lm" for j in range(n))
+    full = f"Sold as copy and {word(99, 40)} by {word(77, 20)} and then the widow of the miller went away again."
+    cut = full[:-12]
+    assert cut.endswith("of the miller went")
+    slip = cut.replace("the widow of the miller", "the widow to the miller")
+    texts = spark.createDataFrame([("full", full), ("slip", slip), ("done", full[:-1])], "cls string, content string")
+    assert T.ends_early(slip, full)
+    for hot_pairs in (10**9, 0):
+        assert {r.cls for r in T.aligned(texts, T.read_texts(texts), hot_pairs).collect()} == {"slip"}
